@@ -64,3 +64,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for Python work on inputs of one or two file splits.
+
+    Inputs with more splits, which is every large one, come back as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
