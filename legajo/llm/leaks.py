@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from legajo.functions.text import words_py
-from legajo.session import small, written
+from legajo.session import small, spread, written
 
 RUN = 12
 #: Distinct item terms up to which the vocabulary travels with the tasks (about 30 bytes each); beyond, a join filters.
@@ -57,7 +57,7 @@ def _tokens(id_col: str, text_col: str, vocabulary: frozenset[str] | None, run:
 def positions(texts: DataFrame, id_col: str, text_col: str, run: int = 1, vocabulary: frozenset[str] | None = None) -> DataFrame:
     """The index: (doc, term, pos)."""
     rows = texts.where(F.length(text_col) >= 2 * run - 1).select(id_col, text_col)
-    return rows.mapInPandas(_tokens(id_col, text_col, vocabulary, run), "doc bigint, term string, pos int")
+    return spread(rows).mapInPandas(_tokens(id_col, text_col, vocabulary, run), "doc bigint, term string, pos int")
 
 
 def matches(texts: DataFrame, items: DataFrame, id_col: str = "artifact_id", text_col: str = "content", run: int = RUN, item_id: str = "item_id", item_text: str = "content") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.functions.text import words_py
-from legajo.session import written
+from legajo.session import spread, written
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 30, 0.6
 BANDS, ROWS = 40, 4
@@ -178,7 +178,7 @@ def _bits_differ(x: Column, y: Column) -> Column:
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, min_words: int = MIN_WORDS, k: int = SHINGLE) -> DataFrame:
     """(a, b) with a < b: text classes within the Hamming budget below a common band. distinct: (h, texto)."""
     most = budget(similarity, bands * rows)
-    sk = distinct.mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary")
+    sk = spread(distinct).mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary")
     entries = written(sk.select("h", "bits", F.explode("keys").alias("key")), "bandas")
     # Bands that one text alone has need no node; counting them moves 16 bytes each.
     nodes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
