@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.llm import leaks, lines, near, splits, survivors, tokens
+from legajo.llm import cuts, leaks, lines, near, pairs, scans, splits, survivors, tokens
 from legajo.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,28 @@ SELECT fila, linea::BIGINT AS linea FROM k JOIN g USING (manual, c)"""
 
 ORACLES["p6_found"] = """
 SELECT fila FROM fragmentos WHERE length(trim(texto, ' ' || chr(9) || chr(10) || chr(13))) > 1800"""
+
+
+@query
+def p7_found(spark, d):
+    return scans.noise(table(spark, d, "fragmentos"))
+
+
+@query
+def p7_text(spark, d):
+    return scans.repaired(table(spark, d, "fragmentos"))
+
+
+@query
+def p1_found(spark, d):
+    return pairs.broken(table(spark, d, "linea_base"), table(spark, d, "documents"))
+
+
+@query
+def p10_found(spark, d):
+    return cuts.cut_texts(table(spark, d, "documents"))
+
+
+@query
+def p10_rates(spark, d):
+    return cuts.rates(table(spark, d, "documents"))
