@@ -21,18 +21,20 @@ ORDERS = (1, 2, 3, 4, 6, 8, 12, 18)
 SAMPLE = 4_000
 #: Weight of the shorter suffix in places, and the chance of an end at which a cut is as likely as not.
 WEIGHT, EVEN = 20.0, 0.015
+#: Places a suffix of three characters or more must have in the sample to count; ends count tenfold.
+SUPPORT = 40
 #: Longer rows are no examples; they are judged all the same.
 LONGEST = 20_000
 
 #: Marks that are put after a cut: blanks, dots, arrows, "[...]", an opened remark, an opened tag, a broken character.
 MARKS = re.compile(
-    r"(?:[\s​‌‍⁠﻿\xa0\xad�]|…|\.{2,}|[\[(]\s*(?:\.{2,}|…)\s*[\])]?|[\[(<{]\s*(?:continua|sigue|cont|cortado|truncado|recortado|leer mas|ver mas|mas|more|truncated|cut|continued|continues)\b[^\])>}]{0,24}[\])>}]?|<[^<>]{0,200}|>{2,}|→|»{2,}|[-–—]+)+$"
+    r"(?:[\s​‌‍⁠﻿\xa0\xad�]|…|\.{2,}|[\[(]\s*(?:\.{2,}|…)\s*[\])]?|[\[(<{]\s*(?:continua|sigue|cont|cortado|truncado|recortado|leer mas|ver mas|mas|more|truncated|cut|continued|continues)\b[^\])>}]{0,24}[\])>}]?|<[^<>]{0,200}|(?:\.{2,}|…)\s*(?:leer mas|ver mas|seguir leyendo|read more|more|continua|sigue)|>{2,}|→|»{2,}|[-–—]+)+$"
 )
 
 
 def plain(text: str) -> str:
-    """Folded, digits as 9, blanks of one kind; the form in which endings are compared."""
-    return re.sub(r"[ \t\xa0]+", " ", re.sub(r"\d", "9", fold_py(text).replace("\r\n", "\n")))
+    """Folded, every number or numeric code as 9, blanks of one kind; the form in which endings are compared."""
+    return re.sub(r"[ \t\xa0]+", " ", re.sub(r"\d+(?:[.,/:-]\d+)*", "9", fold_py(text).replace("\r\n", "\n")))
 
 
 def unmarked(text: str) -> tuple[str, bool]:
@@ -56,19 +58,22 @@ class Endings:
         self.ends, self.inner, self.n_ends, self.n_inner = ends, inner, max(1, n_ends), max(1, n_inner)
 
     def chance(self, text: str) -> float:
-        """P(a text ends here | its last characters): orders from short to long, each one a prior for the next.
+        """P(a text ends here | its last characters), from the longest suffix that the sample holds often enough.
 
-        One end is taken off each count, so that a text of the sample is not its own evidence. The recursion stops at the
-        first suffix with which no text of the sample ends.
+        The last two characters give the prior. One end is taken off each count, so that a text of the sample is not its
+        own evidence. The search stops at the first suffix with which no text of the sample ends.
         """
         t = plain(text[-64:])
-        p = self.n_ends / (self.n_ends + self.n_inner)
+        p = prior = self.n_ends / (self.n_ends + self.n_inner)
         for k in ORDERS:
             g = t[-k:]
-            e = self.ends.get(g, 0)
+            e, i = self.ends.get(g, 0), self.inner.get(g, 0)
             if len(t) < k or not e:
                 break
-            p = (e - 1 + WEIGHT * p) / (e - 1 + self.inner.get(g, 0) + WEIGHT)
+            if k <= 2 or e >= SUPPORT // 10 or e + i >= SUPPORT:
+                p = (e - 1 + WEIGHT * prior) / (e - 1 + i + WEIGHT)
+            if k <= 2:
+                prior = p
         return p
 
     def cut_odds(self, text: str) -> float:
@@ -94,7 +99,7 @@ def fit(texts: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> E
     """Fit on about `sample` rows taken by hash of their id."""
     rows = texts.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).where((F.length(text_col) >= 20) & (F.length(text_col) <= LONGEST))
     share = max(1, rows.count() // sample)
-    rows = rows.where(F.pmod("h", F.lit(share)) == 0).select("t")
+    rows = rows.where(F.pmod("h", F.lit(share)) == 0).select("t").dropDuplicates()  # copies of a cut text prove nothing
     ends: Counter[str] = Counter()
     n = 0
     for r in rows.select(F.expr("right(t, 400)").alias("t")).toLocalIterator():

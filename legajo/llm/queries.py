@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.llm import cuts, leaks, lines, near, pairs, scans, splits, survivors, tokens
+from legajo.llm import cuts, leaks, lines, mixes, near, pairs, scans, splits, survivors, tokens
 from legajo.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,20 @@ def p10_found(spark, d):
 @query
 def p10_rates(spark, d):
     return cuts.rates(table(spark, d, "documents"))
+
+
+def _sized(spark, d):
+    docs = table(spark, d, "documents")
+    counts = tokens.token_counts(docs, written(tokens.word_table(docs), "palabras"))
+    return written(docs.select("doc_id", "source").join(counts, "doc_id"), "medidas")
+
+
+@query
+def p9_mix(spark, d):
+    drawn, _ = mixes.mix(_sized(spark, d), table(spark, d, "mezcla"))
+    return drawn
+
+
+@query
+def p9_shares(spark, d):
+    return mixes.shares(*mixes.mix(_sized(spark, d), table(spark, d, "mezcla")))
