@@ -1,7 +1,7 @@
 """P5. Near copies: pairs of texts whose word runs overlap.
 
-Method: binary trie self-join over 1-bit min-hash sketches. Each text gets `bands * rows` min-hashes of its runs of three words.
-Their lowest bits form the sketch; the expected share of differing bits of two texts with similarity s is (1 - s) / 2, which gives the
+Method: binary trie self-join over 2-bit min-hash sketches. Each text gets `bands * rows` min-hashes of its runs of three words.
+Their two lowest bits form the sketch; the expected share of differing bits of two texts with similarity s is (1 - s) / 2, which gives the
 Hamming budget. A trie over all sketches at once could not prune at such a budget (a third of the bits), so each band's
 min-hashes form the first, exact level of its own trie: only below equal bands are node pairs traversed. They are
 traversed together, differing bits are added up, and a pair of nodes is left as soon as the budget is exceeded. What is
@@ -11,8 +11,8 @@ A node with more than `group` texts is split into its children (next sketch bits
 children become tasks of their own, so no node is gathered in one task. Equal texts are one entry and are expanded at
 the end only where pairs of rows are asked for.
 
-Recall of the bands is 1 - (1 - s**rows)**bands: 0.97 at 0.6, 0.9993 at 0.65. The budget adds five standard deviations
-to the mean, which loses less than one pair in a million. Defined cases: null texts and texts with fewer than
+Recall of the bands is 1 - (1 - s**rows)**bands: 0.97 at 0.6, 0.9993 at 0.65. The budget adds 4.5 standard deviations
+to the mean, which loses less than one pair in 100 000 at the least similarity. Defined cases: null texts and texts with fewer than
 `min_words` words take no part. Empty input gives empty output.
 """
 
@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from legajo.functions.text import words_py
 from legajo.session import spread, written
@@ -66,9 +68,9 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def budget(similarity: float, bits: int) -> int:
-    """Differing bits allowed: mean plus five standard deviations at the least similarity."""
+    """Differing bits allowed: mean plus 4.5 standard deviations at the least similarity."""
     p = (1 - similarity) / 2
-    return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
 
 
 def _sketches(bands: int, rows: int, min_words: int, k: int):
@@ -78,9 +80,13 @@ def _sketches(bands: int, rows: int, min_words: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         weights = np.uint64(0x100000001B3) ** np.arange(rows, dtype=np.uint64)
+        seen: set[int] = set()
         for b in batches:
             ids, keys, bits = [], [], []
             for i, t in zip(b["h"], b["texto"], strict=True):
+                if i in seen:  # of equal texts one for each task is enough
+                    continue
+                seen.add(i)
                 ws = words_py(t)
                 if len(ws) < min_words:
                     continue
@@ -97,23 +103,20 @@ def _sketches(bands: int, rows: int, min_words: int, k: int):
                 key = key * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
                 ids.append(i)
                 keys.append(key.view(np.int64))
-                bits.append(np.packbits((mixed & np.uint64(1)).astype(np.uint8)).tobytes())
+                bits.append(np.packbits(np.concatenate([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8)).tobytes())
             yield pd.DataFrame({"h": ids, "keys": keys, "bits": bits})
 
     return run
 
 
-def _traverse(bits: np.ndarray, left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of `bits` within the budget: node pairs of the binary trie, byte by byte, pruned together."""
-    if right is None:
-        i, j = np.triu_indices(len(left), 1)
-        a, b = left[i], left[j]
-    else:
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    count = np.array([bin(x).count("1") for x in range(256)], dtype=np.int16)
+_ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int16)
+
+
+def _prune(bits: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows of `bits` within the budget: differing bits are added down the trie, pairs beyond it left."""
     spent = np.zeros(len(a), dtype=np.int16)
     for level in range(bits.shape[1]):
-        spent += count[bits[a, level] ^ bits[b, level]]
+        spent += _ONES[bits[a, level] ^ bits[b, level]]
         if level % 4 == 3:
             keep = spent <= most
             if not keep.all():
@@ -122,6 +125,43 @@ def _traverse(bits: np.ndarray, left: np.ndarray, right: np.ndarray | None, most
     return a[keep], b[keep]
 
 
+def _traverse(bits: np.ndarray, left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one node, or of two nodes, within the budget."""
+    if right is None:
+        i, j = np.triu_indices(len(left), 1)
+        return _prune(bits, left[i], left[j], most)
+    return _prune(bits, np.repeat(left, len(right)), np.tile(right, len(left)), most)
+
+
+def _join_small(most: int):
+    """All nodes of a batch at once: nodes of one size form one block of pairs, which is pruned level by level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = b.column(0)
+            flat = g.flatten()
+            h = flat.field(0).to_numpy(zero_copy_only=False)
+            if not len(h):
+                continue
+            bits = np.frombuffer(b"".join(flat.field(1).to_pylist()), dtype=np.uint8).reshape(len(h), -1)
+            sizes = g.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            xs, ys = [], []
+            for n in np.unique(sizes):
+                own = starts[sizes == n]
+                i, j = np.triu_indices(n, 1)
+                step = max(1, 2_000_000 // max(1, len(i)))
+                for at in range(0, len(own), step):
+                    base = own[at : at + step, None]
+                    p, q = _prune(bits, (base + i).ravel(), (base + j).ravel(), most)
+                    xs.append(np.minimum(h[p], h[q]))
+                    ys.append(np.maximum(h[p], h[q]))
+            out = pd.DataFrame({"a": np.concatenate(xs), "b": np.concatenate(ys)}) if xs else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            yield pa.RecordBatch.from_pandas(out[out["a"] != out["b"]].drop_duplicates(), preserve_index=False)
+
+    return run
+
+
 def _join_nodes(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,16 +217,17 @@ def _bits_differ(x: Column, y: Column) -> Column:
 
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, min_words: int = MIN_WORDS, k: int = SHINGLE) -> DataFrame:
     """(a, b) with a < b: text classes within the Hamming budget below a common band. distinct: (h, texto)."""
-    most = budget(similarity, bands * rows)
-    sk = spread(distinct).mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary")
-    entries = written(sk.select("h", "bits", F.explode("keys").alias("key")), "bandas")
-    # Bands that one text alone has need no node; counting them moves 16 bytes each.
-    nodes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(entries.join(nodes, "key"), "nodos")
-    cool = members.where(F.col("n") <= group).groupBy("key").agg(F.collect_list(F.struct("h", "bits", F.lit(0).alias("side"))).alias("g")).select("g")
-    pairs = cool.mapInPandas(_join_nodes(most), "a bigint, b bigint")
+    most = budget(similarity, 2 * bands * rows)
+    sk = written(spread(distinct).mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary"), "bocetos")
+    # One shuffle by band: copies from other tasks fall together, bands that one text alone has need no node.
+    entries = sk.select(F.explode("keys").alias("key"), "h").repartition("key").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    members = written(entries, "nodos")
+    bits = sk.groupBy("h").agg(F.first("bits").alias("bits"))
+    members = members.join(bits, "h")
+    cool = members.where(F.col("n") <= group).groupBy("key").agg(F.collect_list(F.struct("h", "bits")).alias("g")).select("g")
+    pairs = cool.mapInArrow(_join_small(most), "a bigint, b bigint")
     hot = members.where(F.col("n") > group)
-    if not hot.isEmpty():
+    if not hot.select("key").isEmpty():
         # Children of a hot node: the first 16 sketch bits and, for copies that agree in them, shares by hash.
         first = F.conv(F.hex(F.substring("bits", 1, 2)), 16, 10).cast("int")
         share = F.pmod(F.xxhash64("h"), F.ceil(2 * F.col("n") / group)).cast("int")
