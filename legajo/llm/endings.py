@@ -90,7 +90,8 @@ def _count_inner(grams: frozenset[str]):
                 for k in ORDERS:
                     c.update(g for i in range(len(t) - k) if (g := t[i : i + k]) in grams)
                 c["\0"] += len(t)
-        yield pd.DataFrame({"g": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"g": list(c), "n": list(c.values())})
 
     return run
 

@@ -49,7 +49,8 @@ def _tokens(id_col: str, text_col: str, vocabulary: frozenset[str] | None, run:
                     ids.append(i)
                     terms.append(ws[p])
                     at.append(p)
-            yield pd.DataFrame({"doc": ids, "term": terms, "pos": at})
+            if ids:
+                yield pd.DataFrame({"doc": ids, "term": terms, "pos": at})
 
     return go
 

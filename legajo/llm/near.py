@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from legajo.functions.text import words_py
-from legajo.session import spread, written
+from legajo.session import small, spread, written
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 30, 0.6
 BANDS, ROWS = 40, 4
 GROUP = 1024
-_PRIME = np.uint64((1 << 61) - 1)
+#: Text classes in candidate pairs up to which they are broadcast (16 bytes each).
+ENDS = 200_000
 
 
 def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -104,7 +105,8 @@ def _sketches(bands: int, rows: int, min_words: int, k: int):
                 ids.append(i)
                 keys.append(key.view(np.int64))
                 bits.append(np.packbits(np.concatenate([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8)).tobytes())
-            yield pd.DataFrame({"h": ids, "keys": keys, "bits": bits})
+            if ids:
+                yield pd.DataFrame({"h": ids, "keys": keys, "bits": bits})
 
     return run
 
@@ -215,10 +217,14 @@ def _bits_differ(x: Column, y: Column) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
 
 
-def candidates(distinct: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, min_words: int = MIN_WORDS, k: int = SHINGLE) -> DataFrame:
-    """(a, b) with a < b: text classes within the Hamming budget below a common band. distinct: (h, texto)."""
+def sketches(distinct: DataFrame, bands: int = BANDS, rows: int = ROWS, min_words: int = MIN_WORDS, k: int = SHINGLE) -> DataFrame:
+    """(h, keys, bits) of the texts (h, texto) with enough words; copies may come out once for each task."""
+    return written(spread(distinct).mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary"), "bocetos")
+
+
+def candidates(sk: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP) -> DataFrame:
+    """(a, b) with a < b: text classes within the Hamming budget below a common band. sk: what sketches() gives."""
     most = budget(similarity, 2 * bands * rows)
-    sk = written(spread(distinct).mapInPandas(_sketches(bands, rows, min_words, k), "h bigint, keys array<bigint>, bits binary"), "bocetos")
     # One shuffle by band: copies from other tasks fall together, bands that one text alone has need no node.
     entries = sk.select(F.explode("keys").alias("key"), "h").repartition("key").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     members = written(entries, "nodos")
@@ -245,29 +251,47 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, bands: int =
     return pairs.distinct()
 
 
-def similar_texts(texts: DataFrame, id_col: str = "fila", text_col: str = "texto", similarity: float = SIMILARITY, **how) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (id, h) of each row, and (a, b, parecido) of classes of equal texts; h of a class itself is its one link."""
-    k = how.get("k", SHINGLE)
-    classes = text_classes(texts, id_col, text_col)
-    distinct = texts.where(F.length(text_col) >= 2 * how.get("min_words", MIN_WORDS) - 1).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("texto"))
-    near = written(candidates(distinct, similarity, **how), "pares")
+def similar_texts(texts: DataFrame, id_col: str = "fila", text_col: str = "texto", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, min_words: int = MIN_WORDS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): (id, h) of each row that takes part, and (a, b, parecido) with a < b of classes of equal texts."""
+    distinct = texts.where(F.length(text_col) >= 2 * min_words - 1).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("texto"))
+    sk = sketches(distinct, bands, rows, min_words, k)
+    near = written(candidates(sk, similarity, bands, rows, group), "pares")
     ends = near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct()
-    bodies = distinct.join(ends, "h", "left_semi").dropDuplicates(["h"])
+    # Only texts of candidate pairs are moved; few enough ends are sent to the texts instead.
+    bodies = distinct.join(F.broadcast(ends) if small(ends, ENDS) else ends, "h", "left_semi").dropDuplicates(["h"])
     both = near.join(bodies.select(F.col("h").alias("a"), F.col("texto").alias("ta")), "a").join(bodies.select(F.col("h").alias("b"), F.col("texto").alias("tb")), "b")
     links = both.mapInPandas(_overlap(k), "a bigint, b bigint, parecido double").where(F.col("parecido") >= similarity)
-    return classes, links
+    return text_classes(texts, id_col, text_col).join(sk.select("h").distinct(), "h", "left_semi"), links
 
 
 def near_pairs(texts: DataFrame, id_col: str = "fila", text_col: str = "texto", similarity: float = SIMILARITY, **how) -> DataFrame:
     """(fila_a, fila_b): every pair of rows, copies included."""
     classes, links = similar_texts(texts, id_col, text_col, similarity, **how)
-    least = how.get("min_words", MIN_WORDS)
-    links = written(links.select("a", "b"), "enlaces")
-    long = texts.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.size(F.split(F.trim(text_col), r"[^\p{L}\p{N}\p{M}]+")).alias("_w")).where(F.col("_w") >= least).select("id", "h")
-    del classes
+    long, links = written(classes, "clases"), written(links.select("a", "b"), "enlaces")
     many = long.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("a"), F.col("h").alias("b"))
-    all_links = links.union(many)
     x, y = long.select(F.col("id").alias("ia"), F.col("h").alias("a")), long.select(F.col("id").alias("ib"), F.col("h").alias("b"))
-    rows = all_links.join(x, "a").join(y, "b")
+    pairs = links.union(many).join(x, "a").join(y, "b")
     copies = F.col("a") == F.col("b")
-    return rows.where(~copies | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("fila_a"), F.greatest("ia", "ib").alias("fila_b"))
+    return pairs.where(~copies | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("fila_a"), F.greatest("ia", "ib").alias("fila_b"))
+
+
+def near_groups(texts: DataFrame, id_col: str = "fila", text_col: str = "texto", similarity: float = SIMILARITY, rounds: int = 50, **how) -> DataFrame:
+    """(id, clase, enlaces): each row that takes part, the smallest class hash it is linked to over any number of steps, and its links.
+
+    Labels are spread by alternating minimum over neighbours and pointer jumping; every round is written to the shared folder, and
+    rounds end when no label changes.
+    """
+    classes, links = similar_texts(texts, id_col, text_col, similarity, **how)
+    classes, links = written(classes, "clases"), written(links.select("a", "b"), "enlaces")
+    edges = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "aristas")
+    degree = edges.groupBy(F.col("a").alias("h")).agg(F.count(F.lit(1)).alias("enlaces"))
+    label = written(edges.select(F.col("a").alias("h")).distinct().withColumn("c", F.col("h")), "marcas")
+    for _ in range(rounds):
+        around = edges.join(label.select(F.col("h").alias("b"), "c"), "b").groupBy(F.col("a").alias("h")).agg(F.min("c").alias("n"))
+        step = label.join(around, "h", "left").select("h", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved"))
+        step = written(step, "ronda")
+        jump = step.join(step.select(F.col("h").alias("c"), F.col("c").alias("j")), "c", "left").select("h", F.least("c", "j").alias("c"), (F.col("moved") | (F.col("j") < F.col("c"))).alias("moved"))
+        label = written(jump, "marcas")
+        if label.where("moved").isEmpty():
+            break
+    return classes.join(label.select("h", "c"), "h", "left").join(degree, "h", "left").select("id", F.coalesce("c", "h").alias("clase"), F.coalesce("enlaces", F.lit(0)).alias("enlaces"))

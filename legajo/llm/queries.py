@@ -139,3 +139,8 @@ def p9_mix(spark, d):
 @query
 def p9_shares(spark, d):
     return mixes.shares(*mixes.mix(_sized(spark, d), table(spark, d, "mezcla")))
+
+
+@query
+def p5_groups(spark, d):
+    return near.near_groups(table(spark, d, "fragmentos"))
