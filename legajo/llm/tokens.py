@@ -96,7 +96,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     table = spark.createDataFrame(pieces, "id int, piece binary")
     rows = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
     hexed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))), lambda x: x["h"]), "")
-    return rows.groupBy("doc_id").agg(F.decode(F.unhex(hexed), F.lit("UTF-8")).alias("text"))
+    return rows.groupBy("doc_id").agg(F.decode(F.unhex(hexed), "UTF-8").alias("text"))
 
 
 def token_counts(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
