@@ -39,7 +39,7 @@ def folded_chunks(pieces: Column, size: int, overlap: int, separator: str) -> Co
 
 def paragraphs(c: Column) -> Column:
     """Paragraphs of a text, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, " ", " "), r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, " ", " "), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def clean_html(c: Column) -> Column:
@@ -51,7 +51,7 @@ def clean_html(c: Column) -> Column:
     for k, v in ENTITIES.items():
         s = F.replace(s, F.lit(k), F.lit(v))
     s = F.regexp_replace(s, r"[ \t\r\f\x0B]+", " ")
-    s = F.array_join(F.transform(F.split(s, "\n"), F.trim), "\n")
+    s = F.array_join(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"\n\s*\n+", "\n"), r"^\s+|\s+$", ""))
 
 
@@ -63,7 +63,7 @@ def is_heading(c: Column) -> Column:
 
 def blocks(c: Column) -> Column:
     """Array of blocks: split at blank lines and before heading-like lines."""
-    lines = F.transform(F.split(c, "\n"), F.trim)
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

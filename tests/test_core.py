@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legajo.functions import analysis
-from legajo.operators import chunking, evaluation, lexical, maintenance, reports, routing, sampling, traces, vectors
+from legajo.operators import chunking, evaluation, lexical, maintenance, quality, reports, routing, sampling, traces, vectors
 from legajo.sources import files
 from legajo.streaming import logs
 
@@ -259,3 +259,31 @@ def test_partitions_change_nothing(spark):
     q = spark.createDataFrame([(1, "obra palabra3 otra2")], "qid int, query string")
     a = got(lexical.bm25f(docs.repartition(1), {"texto": F.col("texto")}, q))
     assert a == got(lexical.bm25f(docs.repartition(8), {"texto": F.col("texto")}, q)) and len(a) == 10
+
+
+def test_html_sections(spark):
+    html = "<nav>menú</nav><h2>Uno</h2><p>paso a</p><img src='1.png'><p>paso a</p><p>paso b</p><h2>Dos</h2><img src='2.png'><li>paso c</li>"
+    pages = spark.createDataFrame([(1, html), (2, None)], "k bigint, html string")
+    rows = quality.html_sections(pages, "k", "html").orderBy("k", "n").collect()
+    assert [(r.titulo, [(p.texto, p.fotos) for p in r.pasos]) for r in rows] == [("Uno", [("paso a", ["1.png"]), ("paso a", []), ("paso b", [])][:1] + [("paso b", [])]), ("Dos", [("paso c", ["2.png"])])]
+
+
+def test_transcripts(spark):
+    s = spark.createDataFrame([("v", 0.0, 5.0, "a" * 10), ("v", 5.0, 65.0, "b" * 10), ("v", 65.0, 70.0, "c" * 10)], "k string, ini double, fin double, texto string")
+    assert got(quality.transcript_chunks(s, "k", 25).select("n", "desde", "hasta")) == [(0, "0:00", "1:05"), (1, "1:05", "1:10")]
+
+
+def test_evidence(spark):
+    assert one(spark, "use **Nueva partida** y ** otra **", quality.bold_terms) == ["Nueva partida", "otra"]
+    assert one(spark, "Pulse Ctrl+F o F7 en OC-123, código 01.02 y «Guardar»", quality.exact_forms) == ["01.02", "ctrl+f", "f7", "guardar", "oc-123"]
+    df = spark.createDataFrame([("El saldo de la PARTIDA madre se cierra", "partida madre", "saldo de la partida")], "t string, p string, q string")
+    r = df.select(quality.holds_phrase(F.col("t"), F.col("p")).alias("a"), quality.quoted(F.col("t"), F.col("q")).alias("b"), quality.quoted(F.col("t"), F.lit("saldo")).alias("c"), quality.supported(F.col("q"), F.col("t")).alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == (True, True, False, True)
+    lines = spark.createDataFrame([("x", 1, "abra la ficha de partidas"), ("x", 2, "grabe los cambios del registro")], "key string, n int, texto string")
+    steps = spark.createDataFrame([("x", 1, "grabe cambios registro"), ("x", 2, "nada parecido aquí")], "key string, n int, texto string")
+    assert got(quality.place_photos(lines, steps)) == [("x", 1, 2)]
+
+
+def test_rubric(spark):
+    s = spark.createDataFrame([(1, 0.9, 0.9), (2, 0.9, 0.5), (3, 0.1, 0.1)], "id int, a double, b double")
+    assert [r[2] for r in got(routing.rubric(s, {"a": 0.5, "b": 0.5}, {"a": 0.8, "b": 0.8}))] == ["aceptada", "revision", "rechazada"]
