@@ -191,7 +191,9 @@ def test_edit_moves_few_pieces():
     assert len(a & b) >= 0.5 * len(a)
 
 
-def test_scans(spark):
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_scans(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "LINKS", most)
     body = ["El saldo de la partida se recalcula al cierre del periodo", "La coordinadora registra el comprobante en la bandeja"]
     rows = [dict(fila=i, titulo="Cierre mensual de la obra", texto=" ".join(body)) for i in range(30)]
     rows += [
