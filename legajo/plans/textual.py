@@ -117,8 +117,7 @@ def _questions(t):
     return t.linea_base.where("id % 50 = 0 and prompt is not null").select(F.col("id").alias("qid"), F.col("prompt").alias("query"))
 
 
-def _roots(c):
-    return analysis.roots(c)
+_roots = analysis.roots
 
 
 _Q_ROOTS = _ROOTS.replace("lower(text)", "lower(prompt)")
