@@ -33,8 +33,8 @@ MARKS = re.compile(
 
 
 def plain(text: str) -> str:
-    """Folded, every number or numeric code as 9, blanks of one kind; the form in which endings are compared."""
-    return re.sub(r"[ \t\xa0]+", " ", re.sub(r"\d+(?:[.,/:-]\d+)*", "9", fold_py(text).replace("\r\n", "\n")))
+    """Folded, numbers with separators as one 9 and other digits as 9, blanks of one kind; the form in which endings are compared."""
+    return re.sub(r"[ \t\xa0]+", " ", re.sub(r"\d", "9", re.sub(r"\d+(?:[.,/:]\d+)+", "9", fold_py(text).replace("\r\n", "\n"))))
 
 
 def unmarked(text: str) -> tuple[str, bool]:
