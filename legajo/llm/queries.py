@@ -144,3 +144,17 @@ def p9_shares(spark, d):
 @query
 def p5_groups(spark, d):
     return near.near_groups(table(spark, d, "fragmentos"))
+
+
+_WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, {1} AS w FROM {2} WHERE content IS NOT NULL))"
+
+ORACLES["p2_found"] = f"""
+WITH a AS ({_GRAMS.format("artifact_id", _WORDS.format("content"), "artifacts")}), r AS ({_GRAMS.format("item_id", _WORDS.format("content"), "reserva")})
+SELECT DISTINCT artifact_id, item_id FROM a JOIN r USING (g)"""
+
+ORACLES["p4_clean"] = f"""
+WITH found AS ({ORACLES["p4_found"]}),
+l AS (SELECT fila, unnest(string_split(texto, chr(10))) AS t, generate_subscripts(string_split(texto, chr(10)), 1) AS linea FROM fragmentos WHERE texto IS NOT NULL),
+kept AS (SELECT fila, string_agg(t, chr(10) ORDER BY linea) AS s FROM l ANTI JOIN found USING (fila, linea) GROUP BY 1)
+SELECT f.fila, CASE WHEN f.fila IN (SELECT fila FROM found) THEN coalesce(s, '') ELSE f.texto END AS texto FROM fragmentos f LEFT JOIN kept USING (fila)"""
