@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from legajo.functions import analysis
 from legajo.operators import chunking, lexical, routing, vectors
 from legajo.plans.registry import query
+from legajo.session import written
 
 _PLAIN = f"translate(lower({{}}), '{analysis.FOLD_FROM}', '{analysis.FOLD_TO}')"
 
@@ -102,13 +103,28 @@ def version_bucket(t):
     return t.documents.select("doc_id", analysis.bucket(F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string"))).alias("cubo"))
 
 
+#: Words up to two letters longer are looked up by what deletions leave of them; those strings grow with the square of the length.
+_DELETED = 40
+
+
 @query()
 def damerau_pairs(t):
-    """Vocabulary words one or two restricted edits apart, blocked by first letter and length."""
+    """Vocabulary words one or two restricted edits apart: every rare word with every frequent one.
+
+    Two edits take at most two letters from either word, so close words leave a common string of the longer one's length
+    less two. Words that are too long for that, and words up to two letters shorter, are paired by length alone.
+    """
     v = t.documents.select(F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("w").rlike(r"^\p{L}{5,}$"))
-    a = v.select(F.col("w").alias("raro"), F.col("df").alias("na"), F.substring("w", 1, 2).alias("k"), F.length("w").alias("l")).where("na < 3")
-    b = v.select(F.col("w").alias("comun"), F.col("df").alias("nb"), F.substring("w", 1, 2).alias("k"), F.explode(F.array(F.length("w") - 1, F.length("w"), F.length("w") + 1)).alias("l"))
-    p = a.join(b, ["k", "l"]).where("nb >= 10 * na and raro <> comun")
+    v = written(v.where("df < 3 or df >= 10"), "vocabulario")  # its four uses would each read the texts
+    a = v.where("df < 3").select(F.col("w").alias("raro"), F.col("df").alias("na"), F.length("w").alias("la"))
+    b = v.where("df >= 10").select(F.col("w").alias("comun"), F.col("df").alias("nb"), F.length("w").alias("lb"))
+    left = lambda x, w, n: x.where(F.col(n) <= _DELETED + 2).withColumn("k", F.explode(analysis.deletions_udf(2)(w)))
+    short = left(a, "raro", "la").join(left(b, "comun", "lb"), "k").where(F.length("k") == F.greatest("la", "lb") - 2).drop("k")
+    # Pairs with a word above _DELETED + 2, so that both are above _DELETED; all others leave a common string.
+    band = b.where(F.col("lb") > _DELETED).withColumn("l", F.explode(F.sequence(F.col("lb") - 2, F.col("lb") + 2)))
+    long = a.where(F.col("la") > _DELETED).join(band, F.col("la") == F.col("l")).where(F.greatest("la", "lb") > _DELETED + 2).drop("l")
+    # A transposition counts as two plain edits at most, so the cheap bound loses nothing.
+    p = short.distinct().unionByName(long).where((F.col("nb") >= 10 * F.col("na")) & (F.levenshtein("raro", "comun", 4) >= 0))
     return p.withColumn("d", analysis.osa_udf(2)("raro", "comun")).where("d <= 2").select("raro", "comun", "d")
 
 

@@ -2,12 +2,14 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from legajo.functions import analysis
 from legajo.operators import chunking, evaluation, lexical, maintenance, quality, reports, routing, sampling, traces, vectors
+from legajo.plans import textual
 from legajo.sources import files
 from legajo.streaming import logs
 
@@ -287,3 +289,23 @@ def test_evidence(spark):
 def test_rubric(spark):
     s = spark.createDataFrame([(1, 0.9, 0.9), (2, 0.9, 0.5), (3, 0.1, 0.1)], "id int, a double, b double")
     assert [r[2] for r in got(routing.rubric(s, {"a": 0.5, "b": 0.5}, {"a": 0.8, "b": 0.8}))] == ["aceptada", "revision", "rechazada"]
+
+
+def test_damerau_pairs_brute_force(spark):
+    """Edits in the first two letters, two letters more or less, words on both sides of the bound of length."""
+    rng = random.Random(5)
+    base = ["tesorera", "obras", "planilla", "abcdef", "presupuesto", "q" * 20 + "abcdefghijklmnopqr", "z" * 15 + "abcdefghijklmnopqrstuvwxyz", "y" * 60 + "fin", "almacen"]
+    rare = {"tesore", "btesorera", "etsorera", "xxsorera", "sorera", "borsa", "tesorerass", "baplanilla"}
+    for w in base:
+        for _ in range(25):
+            x = w
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                i = rng.randrange(len(x) - 1)
+                x = rng.choice([x[:i] + x[i + 1 :], x[:i] + rng.choice("abxyz") + x[i:], x[:i] + rng.choice("abxyz") + x[i + 1 :], x[:i] + x[i + 1] + x[i] + x[i + 2 :]])
+            rare.add(x)
+    rare = {x for x in rare - set(base) if len(x) >= 5}
+    texts = [" ".join(base)] * 10 + [" ".join(sorted(rare))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted((a, b, d) for a in rare for b in base if (d := analysis.osa(a, b, 2)) <= 2)
+    lengths = {(len(b) > 42, abs(len(a) - len(b))) for a, b, _ in want}
+    assert got(textual.damerau_pairs(SimpleNamespace(documents=docs))) == want and {(x, n) for x in (True, False) for n in (0, 1, 2)} <= lengths
