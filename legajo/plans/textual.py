@@ -31,7 +31,8 @@ def doc_freq(t):
 @query()
 def index_terms(t):
     d = t.documents.select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("termino"))
-    return d.groupBy("termino").agg(F.count(F.lit(1)).alias("veces"), F.approx_count_distinct("doc_id").alias("docs"))
+    per = d.groupBy("termino", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("termino").agg(F.sum("n").alias("veces"), F.count("doc_id").alias("docs"))
 
 
 _CHUNKS = """WITH t AS (SELECT doc_id, trim(text, ' ') AS s FROM documents WHERE length(trim(text, ' ')) > 0),

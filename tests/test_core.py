@@ -309,3 +309,11 @@ def test_damerau_pairs_brute_force(spark):
     want = sorted((a, b, d) for a in rare for b in base if (d := analysis.osa(a, b, 2)) <= 2)
     lengths = {(len(b) > 42, abs(len(a) - len(b))) for a, b, _ in want}
     assert got(textual.damerau_pairs(SimpleNamespace(documents=docs))) == want and {(x, n) for x in (True, False) for n in (0, 1, 2)} <= lengths
+
+
+def test_index_terms_counts_documents_exactly(spark):
+    sizes = {"metrado": 3000, "planilla": 1777, "acero": 901, "grua": 1}
+    texts = [(i, " ".join(w + " " + w for w, n in sizes.items() if i < n)) for i in range(3000)] + [(None, "acero"), (5000, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = sorted((analysis.stem_py(w), 2 * n + (w == "acero"), n) for w, n in sizes.items())
+    assert got(textual.index_terms(SimpleNamespace(documents=docs))) == want
