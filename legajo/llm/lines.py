@@ -24,7 +24,7 @@ from legajo.functions.text import letters_py
 from legajo.session import small, spread, written
 
 MIN_LETTERS, MIN_ROWS, MIN_SHARE = 15, 8, 0.1
-#: Identifiers of a suffix that are compared; longer blocks come out as overlapping ones.
+#: Identifiers of a suffix that are compared first; as long as a wanted block fills them, twice as many are compared.
 DEPTH = 16
 #: Rows of (source, identifier) up to which the frequent lines are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -66,7 +66,7 @@ def frequent_lines(fragments: DataFrame, keyed: DataFrame, min_rows: int = MIN_R
 def _suffixes(depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, marks = [], []
             for s in b["s"]:
                 runs: list[list[int]] = []
                 last = None
@@ -75,8 +75,17 @@ def _suffixes(depth: int):
                         runs.append([])
                     runs[-1].append(x["k"])
                     last = x["p"]
-                out.append([list(t) for t in {tuple(r[i : i + depth]) for r in runs for i in range(len(r))}])
-            yield pd.DataFrame({"m": b["m"], "suf": out})
+                of_row: dict[tuple[int, ...], list[int]] = {}
+                for r in runs:
+                    for i in range(len(r)):
+                        if (t := tuple(r[i : i + depth])) not in of_row:
+                            h, of_row[t] = 0, []
+                            for k in t:
+                                h = (h * 0x9E3779B97F4A7C15 + k + 1) & 0xFFFFFFFFFFFFFFFF
+                                of_row[t].append(h - (1 << 63))
+                out.append([{"suf": list(t), "h": h} for t, h in of_row.items()])
+                marks.append(list({x for h in of_row.values() for x in h[1:]}))
+            yield pd.DataFrame({"m": b["m"], "sufs": out, "marks": marks})
 
     return run
 
@@ -85,19 +94,19 @@ def blocks(occurrences: DataFrame, frequent: DataFrame, depth: int = DEPTH) -> D
     """(m, bloque, filas): blocks of neighbouring lines found in the suffix array, with the rows that hold them.
 
     Blocks of one line keep the count of `frequent`; longer ones are the common prefixes of neighbouring suffixes and
-    are counted by row.
+    are counted by row. Prefixes travel as a hash of their identifiers, as whole arrays they would take the third power of a run's length.
     """
     runs = occurrences.groupBy("fila", "m").agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("s"))
-    per_row = runs.select("m", "s").mapInPandas(_suffixes(depth), "m bigint, suf array<array<bigint>>")
-    array = per_row.select("m", F.explode("suf").alias("suf")).groupBy("m", "suf").agg(F.count(F.lit(1)).alias("veces"))
+    per_row = runs.select("m", "s").mapInPandas(_suffixes(depth), "m bigint, sufs array<struct<suf: array<bigint>, h: array<bigint>>>, marks array<bigint>")
+    array = per_row.select("m", F.explode("sufs").alias("x")).select("m", "x.suf", "x.h").groupBy("m", "suf").agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("veces"))
     w = Window.partitionBy("m", F.col("suf")[0]).orderBy("suf")
-    array = array.withColumn("_prev", F.lag("suf").over(w))
-    common = F.coalesce(F.size(F.filter(F.sequence(F.lit(1), F.least(F.size("suf"), F.size("_prev"))), lambda i: F.slice("suf", 1, i) == F.slice("_prev", 1, i))), F.lit(0))
-    array = array.withColumn("_lcp", F.when(F.col("_prev").isNull(), 0).otherwise(common))
-    longer = array.where("_lcp > 1").select("m", F.expr("slice(suf, 1, _lcp)").alias("bloque")).union(array.where("veces > 1 and size(suf) > 1").select("m", F.col("suf").alias("bloque"))).distinct()
+    array = array.withColumn("_prev", F.lag("h").over(w))
+    # Equal hashes of prefixes come first, so the common prefix is as long as there are equal places.
+    array = array.withColumn("_lcp", F.coalesce(F.size(F.filter(F.arrays_zip(F.col("h").alias("a"), F.col("_prev").alias("b")), lambda x: x.a == x.b)), F.lit(0)))
+    cut = lambda n: (F.slice("suf", F.lit(1), n).alias("bloque"), F.element_at("h", n).alias("marca"))
+    longer = array.where("_lcp > 1").select("m", *cut(F.col("_lcp"))).union(array.where("veces > 1 and size(suf) > 1").select("m", *cut(F.size("suf")))).distinct()
     # A row holds a block if one of its suffixes starts with it; each row's prefixes are made distinct before counting.
-    prefixes = per_row.select("m", F.explode(F.array_distinct(F.flatten(F.transform("suf", lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.slice(s, 1, i)))))).alias("bloque")).where(F.size("bloque") > 1)
-    counted = prefixes.groupBy("m", "bloque").agg(F.count(F.lit(1)).alias("filas")).join(longer, ["m", "bloque"], "left_semi")
+    counted = per_row.select("m", F.explode("marks").alias("marca")).groupBy("m", "marca").agg(F.count(F.lit(1)).alias("filas")).join(longer, ["m", "marca"]).select("m", "bloque", "filas")
     return frequent.select("m", F.array("k").alias("bloque"), "filas").union(counted)
 
 
@@ -113,8 +122,13 @@ def repeated_blocks(fragments: DataFrame, min_rows: int = MIN_ROWS, min_share: f
     frequent = written(frequent_lines(fragments, keyed, min_rows, min_share), "lineas")
     occ = _occurrences(keyed, frequent)
     totals = fragments.where(F.col("manual").isNotNull()).groupBy(F.xxhash64("manual").alias("m")).agg(F.count(F.lit(1)).alias("_total"))
-    found = blocks(occ, frequent).join(totals, "m").where((F.col("filas") >= min_rows) & (F.col("filas") >= min_share * F.col("_total"))).drop("_total")
-    return found, occ
+    depth = DEPTH
+    while True:
+        found = blocks(occ, frequent, depth).join(totals, "m").where((F.col("filas") >= min_rows) & (F.col("filas") >= min_share * F.col("_total"))).drop("_total")
+        found = written(found, "bloques")
+        if found.where(F.size("bloque") >= depth).isEmpty():
+            return found, occ
+        depth *= 2
 
 
 def repeated_lines(fragments: DataFrame, **limits) -> DataFrame:

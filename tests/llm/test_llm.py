@@ -285,3 +285,23 @@ def test_censored_fit():
     v, n = np.unique(x, return_counts=True)
     mu, sigma, limits = cuts.fit_lengths(v, n)
     assert set(limits) == {600} and limits[600] > 0.95 and abs(mu - 6) < 0.05 and abs(sigma - 0.6) < 0.05
+
+
+def test_blocks_longer_than_the_first_depth(spark):
+    """A header of 41 lines and its first 20 lines come out whole, with every block that brute force finds."""
+    rng = random.Random(9)
+    head = [f"renglón fijo del aviso legal {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (1 + i // 26)} de la guía" for i in range(41)]
+    texts = [head + ["cuerpo propio " + "xyz"[i % 3] * (i + 3)] for i in range(10)] + [head[:20] + ["otro cuerpo " + "k" * (i + 3)] + head[5 : 5 + rng.randint(1, 9)] for i in range(10)]
+    f = frag(spark, [dict(fila=i, manual="g", texto="\n".join(t)) for i, t in enumerate(texts)])
+    rows = []
+    for t in texts:  # runs of frequent lines
+        runs = [[]]
+        for x in t:
+            runs = [*runs, []] if x not in head else [*runs[:-1], [*runs[-1], x]]
+        rows.append([r for r in runs if r])
+    suffixes = sorted({(x := tuple(r[i:])) for rs in rows for r in rs for i in range(len(r))})
+    holds = lambda b: sum(any(tuple(r[i : i + len(b)]) == b for r in rs for i in range(len(r))) for rs in rows)
+    wanted = {b for b in suffixes} | {a[:k] for a, b in itertools.pairwise(suffixes) if (k := sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))) > 0}
+    want = sorted([(len(b), n) for b in wanted if len(b) > 1 and (n := holds(b)) >= 8] + [(1, holds((x,))) for x in head])
+    out = got(lines.repeated_blocks(f)[0].select(F.size("bloque"), "filas"))
+    assert out == want and (41, 10) in out and (20, 20) in out
