@@ -179,8 +179,11 @@ def _divided(a: str, b: str) -> bool:
     return b[0].islower() if a[-2].islower() else b[0].isupper() and (len(b) < 2 or not b[1].islower())
 
 
-def inspect(text: str, title: str | None, bad: dict[str, list[tuple[str, int]]], vectors: dict[str, np.ndarray], repair: bool) -> tuple[list[str], str]:
-    """(kinds of noise, repaired text; empty unless wanted)."""
+def inspect(text: str, title: str | None, bad: dict[str, list[tuple[str, int]]], vectors: dict[str, np.ndarray], repair: bool, known: dict[str, str] | None = None, last: bool = True) -> tuple[list[str], str, dict[str, str]]:
+    """(kinds of noise, repaired text; empty unless wanted, misread words and what they were).
+
+    `known` are the words that former passes found. Only the last pass changes the text, with the words of all passes.
+    """
     kinds, keep = [], []
     lines = text.split("\n")
     wide = float(np.median([len(x) for x in lines if x.strip()] or [0]))
@@ -202,16 +205,18 @@ def inspect(text: str, title: str | None, bad: dict[str, list[tuple[str, int]]],
                 i += 1
     body = "\n".join(keep)
     ws = glyph_words(fold_py(body))
-    fixes: dict[str, str] = {}
+    fixes = dict(known or {})
     if not bad.keys().isdisjoint(ws):
         clear = _LONG.sub(" ", body)
         ws = [_glyphs(w) for w in glyph_words(fold_py(clear))]
         for i, w in enumerate(ws):
             if (o := bad.get(w.replace("€", "\x01").replace("†", "\x02"))) and (best := _choose(i, ws, o, vectors)):
                 fixes[w] = best
-        if fixes:
-            kinds.append("caracter")
-    return list(dict.fromkeys(kinds)), _flow(body, fixes, wide) if repair and kinds else body if repair else ""
+    if not last:
+        return [], text, fixes
+    if fixes:
+        kinds.append("caracter")
+    return list(dict.fromkeys(kinds)), _flow(body, fixes, wide) if repair and kinds else body if repair else "", fixes
 
 
 def _flow(body: str, fixes: dict[str, str], wide: float) -> str:
@@ -245,10 +250,10 @@ def _flow(body: str, fixes: dict[str, str], wide: float) -> str:
 def _rows(bad: dict[str, list[tuple[str, int]]], vectors: dict[str, np.ndarray], repair: bool, last: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [inspect(t, h, bad, vectors, repair) if t else ([], t) for t, h in zip(b["texto"], b["titulo"], strict=True)]
-            kinds = [[*old, *(k for k in new if k not in old)] for old, (new, _) in zip(b["ruidos"], found, strict=True)]
-            texts = [t for _, t in found] if repair else [None] * len(b) if last else list(b["texto"])
-            yield pd.DataFrame({"fila": b["fila"], "titulo": pd.Series(b["titulo"], dtype=object), "ruidos": kinds, "texto": pd.Series(texts, dtype=object, index=b.index)})
+            found = [inspect(t, h, bad, vectors, repair, dict(x.split() for x in old), last) if t else ([], t, {}) for t, h, old in zip(b["texto"], b["titulo"], b["fallos"], strict=True)]
+            texts = [t for _, t, _ in found] if repair or not last else [None] * len(b)
+            out = {"fila": b["fila"], "titulo": pd.Series(b["titulo"], dtype=object), "ruidos": [k for k, _, _ in found], "texto": pd.Series(texts, dtype=object, index=b.index)}
+            yield pd.DataFrame(out | {"fallos": pd.Series([[] if last else list(map(" ".join, f.items())) for _, _, f in found], dtype=object, index=b.index)})
 
     return run
 
@@ -258,14 +263,14 @@ def inspected(texts: DataFrame, repair: bool = False) -> DataFrame:
     known = written(vocabulary(texts), "vocabulario")
     linked = written(links(known), "enlaces")
     vectors = word_vectors(texts)
-    # Links beyond the bound go over the texts in further passes, all links of one word in the same pass.
+    # Links beyond the bound go over the texts in further passes, all links of one word in the same pass; the last one repairs.
     passes = 1 if small(linked, LINKS) else 2 + linked.count() // LINKS
-    rows = spread(texts.select("fila", "titulo", "texto")).withColumn("ruidos", F.array().cast("array<string>"))
+    rows = spread(texts.select("fila", "titulo", "texto")).withColumn("fallos", F.array().cast("array<string>"))
     for i in range(passes):
         bad: dict[str, list[tuple[str, int]]] = {}
         for r in linked.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i).collect():
             bad.setdefault(r.word.replace("€", "\x01").replace("†", "\x02"), []).append((r.original, r.veces))
-        rows = rows.select("fila", "titulo", "texto", "ruidos").mapInPandas(_rows(bad, vectors if bad else {}, repair, i == passes - 1), "fila bigint, titulo string, ruidos array<string>, texto string")
+        rows = rows.select("fila", "titulo", "texto", "fallos").mapInPandas(_rows(bad, vectors if bad else {}, repair, i == passes - 1), "fila bigint, titulo string, ruidos array<string>, texto string, fallos array<string>")
     return rows.select("fila", "ruidos", "texto")
 
 

@@ -305,3 +305,16 @@ def test_blocks_longer_than_the_first_depth(spark):
     want = sorted([(len(b), n) for b in wanted if len(b) > 1 and (n := holds(b)) >= 8] + [(1, holds((x,))) for x in head])
     out = got(lines.repeated_blocks(f)[0].select(F.size("bloque"), "filas"))
     assert out == want and (41, 10) in out and (20, 20) in out
+
+
+def test_passes_change_nothing(spark, monkeypatch):
+    """Whether the links travel in one pass or in many, texts are reflowed once: a heading after a long paragraph stays apart."""
+    words_ = ["partida", "saldo", "comprobante", "bandeja", "coordinadora", "periodo", "cierre", "almacen", "planilla", "modelo"]
+    long = "La coordinadora registra el comprobante del saldo en la bandeja de la planilla"
+    rows = [dict(fila=i, titulo="T", texto=" ".join(words_) + " " + long) for i in range(40)]
+    broken = long.replace("saldo", "sald0").replace("planilla", "p1anilla").replace("bandeja", "bande|a").replace("comprobante", "cornprobante")
+    rows += [dict(fila=100 + i, titulo="T", texto=f"{broken}\n{long.replace('registra', 'anota')}\ndel mode1o {i}.\nResumen del a1macen\n- 3 -\n{chr(10).join([long] * 6)}\nde la part|da\n\nfin") for i in range(3)]
+    f = frag(spark, rows)
+    once = got(scans.repaired(f)), got(scans.noise(f))
+    monkeypatch.setattr(scans, "LINKS", 1)
+    assert (got(scans.repaired(f)), got(scans.noise(f))) == once and "sald0" not in dict(once[0])[100]
