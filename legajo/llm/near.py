@@ -1,14 +1,13 @@
 """P5. Near copies: pairs of texts whose word runs overlap.
 
-Method: binary trie self-join over 2-bit min-hash sketches. Each text gets `bands * rows` min-hashes of its runs of three words.
+Method: banded min-hash with a Hamming filter. Each text gets `bands * rows` min-hashes of its runs of three words.
 Their two lowest bits form the sketch; the expected share of differing bits of two texts with similarity s is (1 - s) / 2, which gives the
-Hamming budget. A trie over all sketches at once could not prune at such a budget (a third of the bits), so each band's
-min-hashes form the first, exact level of its own trie: only below equal bands are node pairs traversed. They are
-traversed together, differing bits are added up, and a pair of nodes is left as soon as the budget is exceeded. What is
-left is checked exactly on the words of both texts.
+Hamming budget. No trie is built: a budget of that size (a third of the bits) could not prune its upper levels. Texts that are
+equal in a band are paired, all pairs of a bucket are listed, differing bits are added up part by part, and a pair is left
+as soon as the budget is exceeded. What is left is checked exactly on the words of both texts.
 
-A node with more than `group` texts is split into its children (next sketch bits, then shares of the texts), and pairs of
-children become tasks of their own, so no node is gathered in one task. Equal texts are one entry and are expanded at
+A bucket with more than `group` texts is split into parts (next sketch bits, then shares of the texts), and pairs of
+parts become tasks of their own, so no bucket is gathered in one task. Equal texts are one entry and are expanded at
 the end only where pairs of rows are asked for.
 
 Recall of the bands is 1 - (1 - s**rows)**bands: 0.97 at 0.6, 0.9993 at 0.65. The budget adds 4.5 standard deviations
@@ -115,7 +114,7 @@ _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int16)
 
 
 def _prune(bits: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of rows of `bits` within the budget: differing bits are added down the trie, pairs beyond it left."""
+    """The pairs (a, b) of rows of `bits` within the budget: differing bits are added up, pairs beyond it left."""
     spent = np.zeros(len(a), dtype=np.int16)
     for level in range(bits.shape[1]):
         spent += _ONES[bits[a, level] ^ bits[b, level]]
