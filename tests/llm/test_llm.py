@@ -111,13 +111,29 @@ def test_survivors(spark):
     assert got(survivors.best_rows(frag(spark, []), lv)) == []
 
 
-def test_precedence_places_rows_without_time(spark):
+def _aged(spark):
+    """Three keys change from oficial to academico; the keys z and y hold rows without a timestamp."""
     t = dt.datetime(2024, 1, 1)
     rows = [dict(fila=10 * i + j, id=f"k{i}", manual="x", confianza=c, visto=t + dt.timedelta(days=j), texto=c) for i in range(3) for j, c in enumerate(["oficial", "academico"])]
     rows += [dict(fila=90, id="z", manual="x", confianza="oficial", visto=t, texto="viejo"), dict(fila=91, id="z", manual="x", confianza="academico", visto=None, texto="nuevo")]
-    lv = spark.createDataFrame(LEVELS, "confianza string, rango int")
-    assert got(survivors.precedence(frag(spark, rows), lv)) == [(1, 3, 3)]
-    assert {r.id: r.texto for r in survivors.survivors(frag(spark, rows), lv).collect()}["z"] in ("nuevo", "viejo")
+    rows += [dict(fila=93, id="y", manual="x", confianza="oficial", texto="viejo"), dict(fila=92, id="y", manual="x", confianza="academico", texto="nuevo")]
+    return frag(spark, rows), spark.createDataFrame(LEVELS, "confianza string, rango int")
+
+
+def test_precedence_places_rows_without_time(spark):
+    f, lv = _aged(spark)
+    assert ("confianza", "1", "3") in got(survivors.precedence(f, lv))
+    told = {r.id: r.texto for r in survivors.survivors(f, lv).collect()}
+    assert told["z"] == "nuevo" and told["y"] == "nuevo"
+    none = spark.createDataFrame([], "campo string, antes string, despues string")
+    told = {r.id: r.texto for r in survivors.survivors(f, lv, order=none).collect()}
+    assert told["z"] == "viejo" and told["y"] == "viejo"
+
+
+def test_order_is_closed_without_cycles(spark):
+    edges = spark.createDataFrame([("c", a, b) for a, b in ("12", "23", "34", "56", "67", "75", "48")], "campo string, antes string, despues string")
+    want = {("c", a, b) for a, b in itertools.combinations("1234", 2)} | {("c", a, "8") for a in "1234"}
+    assert set(got(survivors.closed(edges))) == want
 
 
 def test_lines(spark):
