@@ -334,3 +334,43 @@ def test_passes_change_nothing(spark, monkeypatch):
     once = got(scans.repaired(f)), got(scans.noise(f))
     monkeypatch.setattr(scans, "LINKS", 1)
     assert (got(scans.repaired(f)), got(scans.noise(f))) == once and "sald0" not in dict(once[0])[100]
+
+
+def test_context_picks_the_rarer_original(spark):
+    """perriio may be pernio or perruo. Frequency alone says pernio everywhere; the neighbours say perruo in its own phrases."""
+    a, b = "ajuste el pernio de la bisagra oxidada antes del montaje", "alimente al perruo del guardian nocturno con carne fresca"
+    rows = [dict(fila=i, manual="g", titulo="T", texto=f"{a} numero {i}") for i in range(300)] + [dict(fila=1000 + i, manual="g", titulo="T", texto=f"{b} numero {i}") for i in range(100)]
+    rows += [dict(fila=5000, manual="g", titulo="T", texto=b.replace("perruo", "perriio")), dict(fila=5001, manual="g", titulo="T", texto=a.replace("pernio", "perriio"))]
+    f = frag(spark, rows)
+    told = dict(got(scans.repaired(f).where("fila >= 5000")))
+    assert told == {5000: b, 5001: a}
+    blind = dict(got(scans.inspected(f, repair=True, vectors=scans.Vectors()).select("fila", "texto").where("fila >= 5000")))
+    assert blind == {5000: b.replace("perruo", "pernio"), 5001: a}
+
+
+def test_misread_letters_without_bounds(spark):
+    words_ = ["comprobante", "minimo", "administracion", "modelo", "nnnnuuummmdwbbgo" * 8, "dedo"]
+    rng = random.Random(1)
+    back = {}
+    for g, c in scans.GLYPHS.items():
+        back.setdefault(c, []).append(g)
+    for o in words_:
+        for most in (1, 2, len(o)):
+            w, left = "", most
+            for c in o:
+                if c in back and left:
+                    w, left = w + rng.choice(back[c]), left - 1
+                else:
+                    w += c
+            assert scans.misread(w, o) and not scans.misread(o, o) and not scans.misread(w + "x", o)
+            pair = spark.createDataFrame([(w, o)], "w string, o string").select(scans.skeleton(F.col("w")), scans.skeleton(F.col("o"))).first()
+            assert pair[0] == pair[1]
+
+
+def test_headers_of_all_forms(spark):
+    title, manual = "Centro de costo del área usuaria", "Guía de Aprobaciones"
+    lines_ = ["Guía de Aprobaciones / Centro de costo del área usuaria    2", "  Guia de Aprobaciones / Centro de c0sto del área usuaria   ", "CAPÍTUL0 3. CENTRO DE COSTO DEL ÁREA USUARIA", "CENTRO DE COSTO DEL ÁREA USU — GUÍA DE APROBACIONES"]
+    no = ["Guía de Aprobaciones", "Centro de costo del área usuaria", "Guía de Compras / Centro de costo del área usuaria", "ALCANCE Y CONDICIONES"]
+    assert all(scans.is_header(x.strip(), title, manual) for x in lines_) and not any(scans.is_header(x, title, manual) for x in no)
+    rows = [dict(fila=i, documento="d", manual=manual if i else None, titulo=title if i else None, texto=f"uno\n{lines_[0]}\ndos") for i in range(3)] + [dict(fila=9, documento=None, texto=f"uno\n{lines_[0]}\ndos")]
+    assert got(scans.noise(frag(spark, rows))) == [(i, "cabecera") for i in range(3)]
