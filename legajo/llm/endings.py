@@ -1,7 +1,8 @@
 """How texts of a collection end: an n-gram likelihood of the end of text, shared by P1 and P10.
 
-The model is fitted on a bounded sample (every row is a labelled example of its own: its last place is an end, all
-others are not). For the last characters of a text it gives the chance that a text ends there; inside a word or a sentence it is small.
+The ends of all distinct texts are counted; how often the same n-grams stand inside texts is estimated on a bounded sample
+(every row is a labelled example of its own: its last place is an end, all others are not). For the last characters of a text the
+model gives the chance that a text ends there; inside a word or a sentence it is small.
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legajo.functions.text import fold_py
+from legajo.session import written
 
 ORDERS = (1, 2, 3, 4, 6, 8, 12, 18)
-SAMPLE = 4_000
+#: Rows in which inner n-grams are counted. Ends are counted in all rows and kept from this share of them on, so a model has a fixed size.
+SAMPLE, SHARE = 4_000, 1 / 20_000
 #: Weight of the shorter suffix in places, and the chance of an end at which a cut is as likely as not.
 WEIGHT, EVEN = 20.0, 0.015
 #: Places a suffix of three characters or more must have in the sample to count; ends count tenfold.
 SUPPORT = 40
-#: Longer rows are no examples; they are judged all the same.
-LONGEST = 20_000
 
-#: Marks that are put after a cut: blanks, dots, arrows, "[...]", an opened remark, an opened tag, a broken character.
+#: Marks that are put after a cut: blanks, dots, arrows, "[...]", an opened remark, an opened tag, an opened character reference, a broken character.
 MARKS = re.compile(
-    r"(?:[\s​‌‍⁠﻿\xa0\xad�]|…|\.{2,}|[\[(]\s*(?:\.{2,}|…)\s*[\])]?|[\[(<{]\s*(?:continua|sigue|cont|cortado|truncado|recortado|leer mas|ver mas|mas|more|truncated|cut|continued|continues)\b[^\])>}]{0,24}[\])>}]?|<[^<>]{0,200}|(?:\.{2,}|…)\s*(?:leer mas|ver mas|seguir leyendo|read more|more|continua|sigue)|>{2,}|→|»{2,}|[-–—]+)+$"
+    r"(?:[\s​‌‍⁠﻿\xa0\xad�]|…|\.{2,}|[\[(]\s*(?:\.{2,}|…)\s*[\])]?|[\[(<{]\s*(?:continua|sigue|cont|cortado|truncado|recortado|leer mas|ver mas|mas|more|truncated|cut|continued|continues)\b[^\])>}]{0,24}[\])>}]?|<[^<>]{0,200}|&#?[0-9a-z]{0,6}|(?:\.{2,}|…)\s*(?:leer mas|ver mas|seguir leyendo|read more|more|continua|sigue)|>{2,}|→|»{2,}|[-–—]+)+$"
 )
 
 
@@ -51,34 +52,42 @@ def unmarked(text: str) -> tuple[str, bool]:
     return text[: len(text) - (len(tail) - m.start())], bool(mark)
 
 
+def tail(body: str) -> str:
+    """The end of a text without marks, in the form that is counted."""
+    return plain(body[-64:])
+
+
 class Endings:
-    """Counts of n-grams at ends and anywhere else."""
+    """Counts of n-grams at ends, and anywhere else on the scale of the sample: `scale` sample rows stand for each text with an end."""
 
-    def __init__(self, ends: dict[str, int], inner: dict[str, int], n_ends: int, n_inner: int):
-        self.ends, self.inner, self.n_ends, self.n_inner = ends, inner, max(1, n_ends), max(1, n_inner)
+    def __init__(self, ends: dict[str, int], inner: dict[str, int], n_ends: float, n_inner: int, scale: float = 1.0):
+        self.ends, self.inner, self.n_ends, self.n_inner, self.scale = ends, inner, max(1.0, n_ends), max(1, n_inner), scale
 
-    def chance(self, text: str) -> float:
-        """P(a text ends here | its last characters), from the longest suffix that the sample holds often enough.
+    def chance(self, t: str) -> float:
+        """P(a text ends here | its tail), from the longest suffix that enough texts have.
 
-        The last two characters give the prior. One end is taken off each count, so that a text of the sample is not its
-        own evidence. The search stops at the first suffix with which no text of the sample ends.
+        The last two characters give the prior. One end is taken off each count, so that a text is not its own evidence. The
+        search stops at the first suffix with which no text ends.
         """
-        t = plain(text[-64:])
         p = prior = self.n_ends / (self.n_ends + self.n_inner)
         for k in ORDERS:
             g = t[-k:]
-            e, i = self.ends.get(g, 0), self.inner.get(g, 0)
-            if len(t) < k or not e:
+            n, i = self.ends.get(g, 0), self.inner.get(g, 0)
+            if len(t) < k or not n:
                 break
+            e, own = n * self.scale, (n - 1) * self.scale
             if k <= 2 or e >= SUPPORT // 10 or e + i >= SUPPORT:
-                p = (e - 1 + WEIGHT * prior) / (e - 1 + i + WEIGHT)
+                p = (own + WEIGHT * prior) / (own + i + WEIGHT)
             if k <= 2:
                 prior = p
         return p
 
-    def cut_odds(self, text: str) -> float:
-        """Log odds of a cut, 0 where an end is as likely as not."""
-        return math.log(EVEN) - math.log(max(self.chance(text), 1e-9))
+    def tail_odds(self, t: str) -> float:
+        """Log odds of a cut after a tail, 0 where an end is as likely as not."""
+        return math.log(EVEN) - math.log(max(self.chance(t), 1e-9))
+
+    def cut_odds(self, body: str) -> float:
+        return self.tail_odds(tail(body))
 
 
 def _count_inner(grams: frozenset[str]):
@@ -90,26 +99,35 @@ def _count_inner(grams: frozenset[str]):
                 for k in ORDERS:
                     c.update(g for i in range(len(t) - k) if (g := t[i : i + k]) in grams)
                 c["\0"] += len(t)
+                c["\1"] += 1
         if c:
             yield pd.DataFrame({"g": list(c), "n": list(c.values())})
 
     return run
 
 
-def fit(texts: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Endings:
-    """Fit on about `sample` rows taken by hash of their id."""
-    rows = texts.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).where((F.length(text_col) >= 20) & (F.length(text_col) <= LONGEST))
+def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"cola": [tail(unmarked(t)[0]) for t in b["t"]]})
+
+
+def tails(texts: DataFrame, text_col: str) -> DataFrame:
+    """(cola) of every distinct text; copies of a cut text prove nothing."""
+    rows = texts.where(F.length(text_col) >= 20).select(F.xxhash64(text_col).alias("h"), F.expr(f"right(`{text_col}`, 400)").alias("t"))
+    return rows.dropDuplicates(["h"]).select("t").mapInPandas(_tails, "cola string")
+
+
+def fit(texts: DataFrame, id_col: str, text_col: str, ends: DataFrame | None = None, sample: int = SAMPLE) -> Endings:
+    """Ends of all rows (`ends`, as tails() gives, if they are known already), inner places of about `sample` rows taken by hash of their id."""
+    ends = tails(texts, text_col) if ends is None else ends
+    grams = F.explode(F.array(*[F.when(F.length("cola") >= k, F.expr(f"right(cola, {k})")) for k in ORDERS]))
+    # every tail that is not empty has one suffix of one character
+    counted = written(ends.select(grams.alias("g")).where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n")), "finales")
+    n = counted.where(F.length("g") == 1).agg(F.sum("n")).first()[0] or 0
+    kept = {r.g: r.n for r in counted.where(F.col("n") >= SHARE * n).collect()}
+    rows = texts.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).where(F.length(text_col) >= 20)
     share = max(1, rows.count() // sample)
-    rows = rows.where(F.pmod("h", F.lit(share)) == 0).select("t").dropDuplicates()  # copies of a cut text prove nothing
-    ends: Counter[str] = Counter()
-    n = 0
-    for r in rows.select(F.expr("right(t, 400)").alias("t")).toLocalIterator():
-        text, _ = unmarked(r.t)
-        t = plain(text[-64:])
-        n += 1
-        for k in ORDERS:
-            if len(t) >= k:
-                ends[t[-k:]] += 1
-    inner = {r.g: r.n for r in rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(_count_inner(frozenset(ends)), "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    total = inner.pop("\0", 0)
-    return Endings(dict(ends), inner, n, total)
+    rows = rows.where(F.pmod("h", F.lit(share)) == 0).select("t").dropDuplicates()
+    inner = {r.g: r.n for r in rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(_count_inner(frozenset(kept)), "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    total, sampled = inner.pop("\0", 0), inner.pop("\1", 0)
+    return Endings(kept, inner, sampled, total, sampled / max(1, n))

@@ -48,8 +48,7 @@ def p4_blocks(spark, d):
 
 @query
 def p4_clean(spark, d):
-    f = table(spark, d, "fragmentos")
-    return lines.without_lines(f, lines.repeated_lines(f))
+    return lines.cleaned(table(spark, d, "fragmentos"))
 
 
 @query
@@ -155,6 +154,14 @@ SELECT DISTINCT artifact_id, item_id FROM a JOIN r USING (g)"""
 
 ORACLES["p4_clean"] = f"""
 WITH found AS ({ORACLES["p4_found"]}),
-l AS (SELECT fila, unnest(string_split(texto, chr(10))) AS t, generate_subscripts(string_split(texto, chr(10)), 1) AS linea FROM fragmentos WHERE texto IS NOT NULL),
-kept AS (SELECT fila, string_agg(t, chr(10) ORDER BY linea) AS s FROM l ANTI JOIN found USING (fila, linea) GROUP BY 1)
-SELECT f.fila, CASE WHEN f.fila IN (SELECT fila FROM found) THEN coalesce(s, '') ELSE f.texto END AS texto FROM fragmentos f LEFT JOIN kept USING (fila)"""
+l AS (SELECT fila, manual, unnest(string_split(texto, chr(10))) AS t, generate_subscripts(string_split(texto, chr(10)), 1) AS linea FROM fragmentos WHERE texto IS NOT NULL),
+k AS (SELECT *, regexp_replace({_FOLD.format("t")}, '[^a-z]', '', 'g') AS c FROM l),
+pairs AS (SELECT fila, linea AS a, lead(linea) OVER (PARTITION BY fila ORDER BY linea) AS b FROM found),
+gaps AS (SELECT p.fila, p.a, p.b, any_value(k.manual) AS manual, string_agg(CASE WHEN k.linea IN (p.a, p.b) THEN k.c ELSE lower(trim(k.t, ' ' || chr(9) || chr(13))) END, chr(10) ORDER BY k.linea) AS g
+  FROM pairs p JOIN k ON k.fila = p.fila AND k.linea BETWEEN p.a AND p.b WHERE p.b > p.a + 1
+  GROUP BY 1, 2, 3 HAVING max(CASE WHEN k.linea > p.a AND k.linea < p.b THEN length(k.c) ELSE 0 END) < 15),
+n AS (SELECT manual, count(*) AS total FROM fragmentos WHERE manual IS NOT NULL GROUP BY 1),
+wide AS (SELECT manual, g FROM gaps JOIN n USING (manual) GROUP BY manual, g, total HAVING count(DISTINCT fila) >= 8 AND count(DISTINCT fila) >= 0.1 * total),
+gone AS (SELECT fila, linea FROM found UNION SELECT gaps.fila, k.linea FROM gaps JOIN wide USING (manual, g) JOIN k ON k.fila = gaps.fila AND k.linea > gaps.a AND k.linea < gaps.b),
+kept AS (SELECT fila, string_agg(t, chr(10) ORDER BY linea) AS s FROM l ANTI JOIN gone USING (fila, linea) GROUP BY 1)
+SELECT f.fila, CASE WHEN f.fila IN (SELECT fila FROM gone) THEN coalesce(s, '') ELSE f.texto END AS texto FROM fragmentos f LEFT JOIN kept USING (fila)"""

@@ -144,7 +144,7 @@ def test_lines(spark):
     f = frag(spark, rows)
     assert got(lines.repeated_lines(f)) == sorted((i, k) for i in range(20) for k in (1, 2))
     blocks = got(lines.repeated_blocks(f)[0].select(F.size("bloque"), "filas"))
-    assert blocks == [(1, 20), (1, 20), (2, 20)]
+    assert blocks == [(1, 20), (2, 20)]
     clean = dict(got(lines.without_lines(f, lines.repeated_lines(f)).where("texto is not null")))
     assert clean[0] == "línea propia número aaa" and clean[50] == foot
     assert got(lines.repeated_lines(f.limit(0))) == []
@@ -318,7 +318,7 @@ def test_blocks_longer_than_the_first_depth(spark):
     suffixes = sorted({(x := tuple(r[i:])) for rs in rows for r in rs for i in range(len(r))})
     holds = lambda b: sum(any(tuple(r[i : i + len(b)]) == b for r in rs for i in range(len(r))) for rs in rows)
     wanted = {b for b in suffixes} | {a[:k] for a, b in itertools.pairwise(suffixes) if (k := sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))) > 0}
-    want = sorted([(len(b), n) for b in wanted if len(b) > 1 and (n := holds(b)) >= 8] + [(1, holds((x,))) for x in head])
+    want = sorted((len(b), n) for b in wanted if (n := holds(b)) >= 8)
     out = got(lines.repeated_blocks(f)[0].select(F.size("bloque"), "filas"))
     assert out == want and (41, 10) in out and (20, 20) in out
 
@@ -374,3 +374,75 @@ def test_headers_of_all_forms(spark):
     assert all(scans.is_header(x.strip(), title, manual) for x in lines_) and not any(scans.is_header(x, title, manual) for x in no)
     rows = [dict(fila=i, documento="d", manual=manual if i else None, titulo=title if i else None, texto=f"uno\n{lines_[0]}\ndos") for i in range(3)] + [dict(fila=9, documento=None, texto=f"uno\n{lines_[0]}\ndos")]
     assert got(scans.noise(frag(spark, rows))) == [(i, "cabecera") for i in range(3)]
+
+
+def test_blocks_are_removed_with_their_short_lines(spark):
+    """A short or blank line goes with a block that spans enough rows, and stays anywhere else."""
+    head, foot = "Volver al índice general de la guía", "Todos los derechos reservados a la casa"
+    rows = [dict(fila=i, manual="g", texto=f"{head}\n\nCompartir\n{foot}\nCompartir\ncuerpo propio {'xyzw'[i % 4] * (i + 3)}") for i in range(20)]
+    rows += [dict(fila=30 + i, manual="g", texto=f"{head}\nSolo aquí {i}\n{foot}\nfin") for i in range(5)]
+    f = frag(spark, rows)
+    assert got(lines.repeated_lines(f)) == sorted([(i, k) for i in range(20) for k in (1, 4)] + [(30 + i, k) for i in range(5) for k in (1, 3)])
+    clean = dict(got(lines.cleaned(f)))
+    assert clean[0] == "Compartir\ncuerpo propio xxx" and clean[31] == "Solo aquí 1\nfin"
+
+
+def test_no_array_no_lines(spark, monkeypatch):
+    f = frag(spark, [dict(fila=i, manual="g", texto="Todos los derechos reservados a la casa") for i in range(20)])
+    monkeypatch.setattr(lines, "_suffixes", lambda depth: lambda batches: iter(()))
+    assert got(lines.repeated_lines(f)) == []
+
+
+def test_trie_against_all_pairs():
+    rng = np.random.default_rng(3)
+    most = near.budgets(0.6, 160)
+    assert most[0] == 0 and most[10] < 10 and 64 < most[320] < 120 and (np.diff(most) >= 0).all()
+    base = rng.integers(0, 2, (12, 320))
+    rows = np.concatenate([base[rng.integers(0, 12, 300)] ^ (rng.random((300, 320)) < rng.choice([0.0, 0.05, 0.2, 0.3], (300, 1))), base[:3], base[:3]]).astype(np.uint8)
+    bits, node = np.packbits(rows, axis=1), rng.integers(0, 3, len(rows))
+    order = near._sorted(bits, node)
+    bits, node, rows = bits[order], node[order], rows[order]
+    at = np.searchsorted(node, np.arange(4))
+    p, q = near.traverse(bits, [(at[:3], at[1:], at[:3], at[1:])], most)
+    found = set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+    assert len(found) == len(p)
+    sums = {(i, j): np.concatenate([[0], np.cumsum(rows[i] ^ rows[j])]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if node[i] == node[j]}
+    sure = {k for k, s in sums.items() if (s <= most).all()}
+    assert sure <= found <= {k for k, s in sums.items() if s[-1] <= most[-1]} and 100 < len(found) < len(sums) / 2
+    two = near.traverse(bits, [(at[:1], at[1:2], at[1:2], at[2:3])], most)
+    cross = {(i, j) for i in range(at[0], at[1]) for j in range(at[1], at[2]) if (np.cumsum(rows[i] ^ rows[j]) <= most[1:]).all()}
+    assert cross <= set(zip(*map(np.ndarray.tolist, two), strict=True))
+
+
+def test_trie_prunes_a_bucket(spark):
+    """All texts share every band key by force; only the trie keeps texts apart that are not alike."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (6, 40)).astype(np.uint8)
+    near_ = np.concatenate([base ^ (rng.random((6, 40)) < 0.1).astype(np.uint8) for _ in range(5)])
+    rows = [(i, [1] * 40, bytes(b)) for i, b in enumerate(near_)]
+    sk = spark.createDataFrame(rows, "h bigint, keys array<bigint>, bits binary")
+    for group in (1024, 8):
+        assert got(near.candidates(sk, group=group)) == sorted((i, j) for i in range(30) for j in range(i + 1, 30) if i % 6 == j % 6)
+
+
+def test_chain_of_links_ends(spark):
+    label, _ = near.linked_labels(spark.createDataFrame([(i, i + 1) for i in range(70)] + [(900, 901)], "a bigint, b bigint"))
+    assert got(label) == [(i, 0) for i in range(71)] + [(900, 900), (901, 900)]
+
+
+def test_limit_decides_open_endings(spark):
+    """Texts of whole words without any sign: only the length tells that those of one source were cut."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["obra", "caja", "pago", "saco", "foso", "lote"]) for _ in range(n))
+    rows = [(i, text(rng.randint(8, 36)), "libre") for i in range(400)]
+    rows += [(1000 + i, text(rng.randint(8, 36))[:99], "limitada") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {i for (i,) in got(cuts.cut_texts(d))}
+    want = {i for i, t, s in rows if s == "limitada" and len(t) == 99}
+    assert len(found & want) > 0.95 * len(want) and len(found - want) < 10
+    assert not want & {r.doc_id for r in cuts.judged(d, weight=0.0).where("cortado").collect()}
+
+
+def test_null_source_is_no_name(spark):
+    d = spark.createDataFrame([(i, "una frase que termina. " * (1 + i % 5), "___" if i % 2 else None) for i in range(40)], "doc_id bigint, text string, source string")
+    assert {(r.source, r.textos) for r in cuts.rates(d).collect()} == {("___", 20), (None, 20)}
