@@ -4,8 +4,9 @@ Method: cube-method balanced sampling. Each plan's wanted tokens are split over
 reach its part within the allowed repetitions gives all it may, and the rest goes to the others. The ratio of wanted tokens to the
 source's tokens is a whole number of repetitions plus a fraction; the fraction is the inclusion probability of every document of
 the source. The probabilities move through the null space of two constraints (sum of probabilities, sum of tokens) until each is 0
-or 1: first inside blocks of a few thousand documents, then over what the blocks left (at most three documents each), again in
-blocks until one block holds all; the landing of the last three documents of a source takes the likelier value.
+or 1: first inside blocks of a few thousand documents, then over what the blocks left (at most two documents each), again in
+blocks until one block holds all of a source. Landing gives up the balance of tokens for the last documents, then draws the very
+last by its probability, so every document keeps its inclusion probability.
 
 Defined cases: weights that are null, negative or zero, and sources without tokens, get nothing. Documents without tokens are never
 drawn. A null source belongs to no plan. Shares of an empty plan are null. Draws depend on the document id alone.
@@ -50,11 +51,29 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
+def land(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Landing phase: the sum of the probabilities is kept until one is left, which is drawn; expectations stay."""
+    p = p.astype(float).copy()
+    open_ = [int(i) for i in np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))]
+    while len(open_) > 1:
+        i, j = open_[:2]
+        up, down = min(1 - p[i], p[j]), min(p[i], 1 - p[j])
+        step = up if rng.random() < down / (up + down) else -down
+        p[i], p[j] = p[i] + step, p[j] - step
+        open_ = [k for k in open_ if 1e-9 < p[k] < 1 - 1e-9]
+    for i in open_:
+        p[i] = float(rng.random() < p[i])
+    return np.round(p)
+
+
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id")
+    """One block; the only block of its source is landed too."""
+    pdf = pdf.sort_values(["doc_id", "tokens"])
     rng = np.random.default_rng(int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF)
     out = pdf.copy()
     out["p"] = flight(pdf["p"].to_numpy(), pdf["tokens"].to_numpy(dtype=float), rng)
+    if int(pdf["bloques"].iloc[0]) == 1:
+        out["p"] = land(out["p"].to_numpy(), rng)
     return out
 
 
@@ -84,11 +103,12 @@ def water_fill(weights: dict[str, float], room: dict[str, float], wanted: float)
 def targets(plans: DataFrame, sizes: DataFrame) -> DataFrame:
     """(plan, source, peso, max_repeticiones, disponible, meta): tokens wanted of each source of each plan.
 
-    plans and sizes have one row for each source; both are collected, since plans are written by hand.
+    The plans are collected, since they are written by hand, and the sizes of the sources that they name.
     """
     spark = plans.sparkSession
-    have = {r.source: float(r.tokens or 0) for r in sizes.collect()}
-    total = sum(have.values())
+    total = float(sizes.agg(F.sum("tokens")).first()[0] or 0)
+    named = plans.select("source").where("source is not null").distinct()
+    have = {r.source: float(r.tokens or 0) for r in sizes.join(F.broadcast(named), "source", "left_semi").collect()}
     rows = []
     by: dict[str, list] = {}
     for r in plans.where(F.col("plan").isNotNull()).collect():
@@ -108,18 +128,21 @@ def mix(documents: DataFrame, plans: DataFrame, block: int = BLOCK) -> tuple[Dat
     want = targets(plans, sizes)
     ratio = want.where("meta > 0").select("plan", "source", (F.col("meta") / F.col("disponible")).alias("r"))
     rows = docs.join(F.broadcast(ratio), "source").select("plan", "doc_id", "source", "tokens", F.floor(F.col("r") + 1e-9).cast("int").alias("base"), F.greatest(F.lit(0.0), F.col("r") - F.floor(F.col("r") + 1e-9)).alias("p"))
-    kind = "plan string, doc_id bigint, source string, tokens bigint, base int, p double, b int"
+    kind = "plan string, doc_id bigint, source string, tokens bigint, base int, p double, bloques int, b int"
     settled, rest = rows.where("p <= 1e-9").withColumn("p", F.lit(0.0)), rows.where("p > 1e-9")
-    blocks = rest.groupBy("plan", "source").count().agg(F.max("count")).first()[0] or 0
     while True:
-        n = max(1, -(-int(blocks) // block))
-        flown = written(rest.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).groupBy("plan", "source", "b").applyInPandas(_fly, kind), "vuelo").drop("b")
+        # as many blocks as each source needs; one row for each source of each plan
+        sizes = written(rest.groupBy("plan", "source").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("bloques")), "bloques")
+        most = sizes.agg(F.max("bloques")).first()[0] or 0
+        if not most:
+            break
+        cut = rest.join(F.broadcast(sizes), ["plan", "source"]).withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(int(most))), F.col("bloques")).cast("int"))
+        flown = written(cut.select("plan", "doc_id", "source", "tokens", "base", "p", "bloques", "b").groupBy("plan", "source", "b").applyInPandas(_fly, kind), "vuelo").drop("b", "bloques")
         settled = settled.unionByName(flown.where("p = 0 or p = 1"))
-        rest = flown.where("p > 0 and p < 1")
-        if n == 1:
+        if most == 1:
             break
-        blocks = rest.groupBy("plan", "source").count().agg(F.max("count")).first()[0] or 0
-    drawn = settled.unionByName(rest.withColumn("p", F.round("p"))).withColumn("repeticiones", F.col("base") + F.col("p").cast("int"))
+        rest = flown.where("p > 0 and p < 1")
+    drawn = settled.withColumn("repeticiones", F.col("base") + F.col("p").cast("int"))
     return drawn.where("repeticiones > 0").select("plan", "doc_id", "source", "tokens", "repeticiones"), want
 
 

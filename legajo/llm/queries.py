@@ -24,6 +24,13 @@ def p2_found(spark, d):
     return leaks.leaked(table(spark, d, "artifacts"), table(spark, d, "reserva"))
 
 
+@query
+def p2_near(spark, d):
+    """Messages that hold 12 words of an item nearly in their places, one of them may be missing."""
+    m = leaks.near_matches(table(spark, d, "artifacts"), table(spark, d, "reserva"))
+    return m.select(F.col("doc").alias("artifact_id"), F.col("item").alias("item_id"), "desde", "palabras", "movidas")
+
+
 @query
 def p3_found(spark, d):
     return survivors.best_rows(table(spark, d, "fragmentos"), table(spark, d, "niveles_confianza"))
@@ -63,7 +70,13 @@ def p6_found(spark, d):
 
 @query
 def p6_pieces(spark, d):
-    return splits.pieces(table(spark, d, "fragmentos"))
+    return splits.pieces(table(spark, d, "fragmentos")).drop("desde")
+
+
+@query
+def p6_check(spark, d):
+    """Every rule of the pieces, held against the whole texts."""
+    return splits.checked(table(spark, d, "fragmentos"))
 
 
 @query
@@ -125,8 +138,7 @@ def p10_rates(spark, d):
 
 def _sized(spark, d):
     docs = table(spark, d, "documents")
-    counts = tokens.token_counts(docs, written(tokens.word_table(docs), "palabras"))
-    return written(docs.select("doc_id", "source").join(counts, "doc_id"), "medidas")
+    return written(tokens.token_counts(docs, written(tokens.word_table(docs), "palabras"), keep=["source"]), "medidas")
 
 
 @query
@@ -140,6 +152,19 @@ def p9_shares(spark, d):
     return mixes.shares(*mixes.mix(_sized(spark, d), table(spark, d, "mezcla")))
 
 
+@query
+def p9_check(spark, d):
+    """For each source of each plan the documents drawn beyond the cap, drawn twice or foreign, and whether its tokens are the wanted ones up to the two longest documents."""
+    sized, plans = _sized(spark, d), table(spark, d, "mezcla")
+    drawn, want = mixes.mix(sized, plans)
+    drawn = written(drawn, "mezcla")
+    own = drawn.groupBy("plan", "source").agg(F.sum(F.col("tokens") * F.col("repeticiones")).alias("_t"), F.max("repeticiones").alias("_r"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("_d"))
+    real = drawn.join(sized, ["doc_id", "source", "tokens"], "left_anti").groupBy("plan", "source").agg(F.count(F.lit(1)).alias("_a"))
+    long = sized.groupBy("source").agg(F.max("tokens").alias("_m"))
+    rows = want.join(own, ["plan", "source"], "left").join(real, ["plan", "source"], "left").join(long, "source", "left").fillna(0, ["_t", "_r", "_d", "_a", "_m"])
+    return rows.select("plan", "source", F.greatest(F.lit(0), F.col("_r") - F.col("max_repeticiones")).cast("int").alias("sobre_tope"), F.col("_d").alias("dobles"), F.col("_a").alias("ajenos"), (F.abs(F.col("_t") - F.col("meta")) <= 2 * F.col("_m")).alias("cerca"))
+
+
 @query
 def p5_groups(spark, d):
     return near.near_groups(table(spark, d, "fragmentos"))
@@ -165,3 +190,9 @@ wide AS (SELECT manual, g FROM gaps JOIN n USING (manual) GROUP BY manual, g, to
 gone AS (SELECT fila, linea FROM found UNION SELECT gaps.fila, k.linea FROM gaps JOIN wide USING (manual, g) JOIN k ON k.fila = gaps.fila AND k.linea > gaps.a AND k.linea < gaps.b),
 kept AS (SELECT fila, string_agg(t, chr(10) ORDER BY linea) AS s FROM l ANTI JOIN gone USING (fila, linea) GROUP BY 1)
 SELECT f.fila, CASE WHEN f.fila IN (SELECT fila FROM gone) THEN coalesce(s, '') ELSE f.texto END AS texto FROM fragmentos f LEFT JOIN kept USING (fila)"""
+
+ORACLES["p6_check"] = f"""
+SELECT fila, 0::INT AS piezas_mal, length({(T := "trim(texto, ' ' || chr(9) || chr(10) || chr(13))")})::INT AS largo FROM fragmentos WHERE length({T}) > 0"""
+
+ORACLES["p9_check"] = """
+SELECT DISTINCT plan, source, 0::INT AS sobre_tope, 0::BIGINT AS dobles, 0::BIGINT AS ajenos, true AS cerca FROM mezcla WHERE plan IS NOT NULL AND source IS NOT NULL"""

@@ -85,8 +85,8 @@ def _pieces(limit: int, overlap: int, least: int):
                 text = text.strip(_EDGE)
                 first = _first_page(page)
                 for i, (s, e) in enumerate(cuts(text, limit, overlap, least), 1):
-                    rows.append((fila, i, first + text.count("\f", 0, s), text[s:e]))
-            yield pd.DataFrame(rows, columns=["fila", "pieza", "pagina", "texto"])
+                    rows.append((fila, i, first + text.count("\f", 0, s), s, text[s:e]))
+            yield pd.DataFrame(rows, columns=["fila", "pieza", "pagina", "desde", "texto"])
 
     return run
 
@@ -96,16 +96,16 @@ def _trimmed(c):
 
 
 def long_pieces(fragments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """(fila, pieza, pagina, texto) of the texts above the limit."""
+    """(fila, pieza, pagina, desde, texto) of the texts above the limit; desde counts the characters before the piece."""
     rows = fragments.select("fila", "pagina", "texto").where(F.length(_trimmed("texto")) > limit)
-    return rows.mapInPandas(_pieces(limit, overlap, least), "fila bigint, pieza int, pagina bigint, texto string")
+    return rows.mapInPandas(_pieces(limit, overlap, least), "fila bigint, pieza int, pagina bigint, desde int, texto string")
 
 
 def pieces(fragments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """As long_pieces(), with every text within the limit as one piece."""
     t = _trimmed("texto")
     whole = fragments.where((F.length(t) > 0) & (F.length(t) <= limit)).select(
-        "fila", F.lit(1).alias("pieza"), F.coalesce(F.expr("try_cast(nullif(substring(regexp_extract(pagina, '[0-9]+', 0), 1, 9), '') AS bigint)"), F.lit(1)).cast("bigint").alias("pagina"), t.alias("texto")
+        "fila", F.lit(1).alias("pieza"), F.coalesce(F.expr("try_cast(nullif(substring(regexp_extract(pagina, '[0-9]+', 0), 1, 9), '') AS bigint)"), F.lit(1)).cast("bigint").alias("pagina"), F.lit(0).alias("desde"), t.alias("texto")
     )
     return whole.unionByName(long_pieces(fragments, limit, overlap, least))
 
@@ -113,3 +113,22 @@ def pieces(fragments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, lea
 def oversized(fragments: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(fila) of the texts that were cut."""
     return long_pieces(fragments, limit).where("pieza = 2").select("fila")
+
+
+def checked(fragments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(fila, piezas_mal, largo) of every text that is not blank: pieces that break a rule, and the characters that all of them cover.
+
+    A piece is wrong if it is empty or too long, if it is not the slice of the text at its place, if it leaves a gap to the
+    one before, repeats more than `overlap` characters of it or adds nothing, or if its page isn't the first one plus the form
+    feeds before it.
+    """
+    body = fragments.select("fila", _trimmed("texto").alias("_t"), F.coalesce(F.expr("try_cast(nullif(substring(regexp_extract(pagina, '[0-9]+', 0), 1, 9), '') AS bigint)"), F.lit(1)).alias("_p"))
+    p = pieces(fragments, limit, overlap, least).withColumn("_e", F.col("desde") + F.length("texto"))
+    of_row = p.groupBy("fila").agg(F.array_sort(F.collect_list(F.struct("pieza", "desde", F.col("_e").alias("e"), "pagina", "texto"))).alias("_x"))  # one row's pieces
+    before = lambda i: F.try_element_at(F.transform("_x", lambda y: y.e), i)
+    feeds = lambda y: F.length(F.substring(F.col("_t"), F.lit(1), y.desde)) - F.length(F.replace(F.substring(F.col("_t"), F.lit(1), y.desde), F.lit("\f"), F.lit("")))
+    wrong = lambda y, i: (
+        (F.length(y.texto) == 0) | (F.length(y.texto) > limit) | (y.pieza != i + 1) | (F.substring(F.col("_t"), y.desde + 1, F.length(y.texto)) != y.texto) | (y.pagina != F.col("_p") + feeds(y))
+        | F.when(i == 0, y.desde != 0).otherwise((y.desde > before(i)) | (before(i) - y.desde > overlap) | (y.e <= before(i)))
+    )
+    return body.where(F.length("_t") > 0).join(of_row, "fila", "left").select("fila", F.coalesce(F.size(F.filter("_x", wrong)), F.lit(-1)).alias("piezas_mal"), F.array_max(F.transform("_x", lambda y: y.e)).alias("largo"))

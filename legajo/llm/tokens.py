@@ -2,10 +2,12 @@
 
 Method: a table of distinct words. Texts are split by the vocabulary's own pattern in Spark, each distinct word is encoded
 once, and its ids are joined back by position. Frequent words (a bounded list) travel to the texts; every other word is
-joined by shuffle, so no word that a third of all texts contain is sent to one task.
+joined by shuffle, so no word that a third of all texts contain is sent to one task. Only the places of those words, and
+the lists that have one, are shuffled; a text never is.
 
 Defined cases: null and empty texts give an empty list, blank texts are encoded as they are. Equal texts give equal
-lists. Strings that look like special tokens are ordinary text. Empty input gives empty output.
+lists, rows with equal or null ids come out once each. Strings that look like special tokens are ordinary text. Empty input gives
+empty output.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legajo.session import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The pattern that goes with the vocabulary, in Java's notation: (?U) makes \s cover all white space.
-SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern that goes with the vocabulary, in Java's notation: white space is spelled out, the most frequent kinds come first.
+SPLIT = r" ?\p{L}+| ?\p{N}+|'(?:[sdmt]|ll|ve|re)| ?[^\s\x{85}\p{Z}\p{L}\p{N}]+|[\s\x{85}\p{Z}]+(?![^\s\x{85}\p{Z}])|[\s\x{85}\p{Z}]+"
 #: The same for the worker that encodes single words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most frequent words that travel to every task: about 100 bytes each.
@@ -58,35 +62,59 @@ def word_table(texts: DataFrame, text_col: str = "text", vocabulary: str = VOCAB
     return counts.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
 
-def _joined(hot: dict[str, list[int]]):
+def _hot(table: DataFrame, hot: int) -> dict[str, list[int]]:
+    return {r.word: list(r.ids) for r in table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").collect()}
+
+
+def _parts(hot: dict[str, list[int]], keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for ws, own in zip(b["ws"], b["cold"], strict=True):
+            lists, colds = [], []
+            for ws in b["ws"]:
                 ids: list[int] = []
-                if ws is not None:
-                    rest = {x["word"]: x["ids"] for x in own} if own is not None else {}
-                    for w in ws:
-                        ids.extend(hot[w] if w in hot else rest[w])
-                out.append(ids)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
+                cold: list[str] = []
+                for w in ws if ws is not None else ():
+                    if (known := hot.get(w)) is not None:
+                        ids += known
+                    else:
+                        ids.append(-1)
+                        cold.append(w)
+                lists.append(ids)
+                colds.append(cold)
+            yield pd.DataFrame({**{c: b[c] for c in keep}, "ids": lists, "cold": colds})
 
     return run
 
 
-def encode(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, ids) of every row. `table` is read twice: written() spares encoding again.
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for ids, found in zip(b["ids"], b["found"], strict=True):
+            places = iter(sorted((x["pos"], x["ids"]) for x in found))
+            full: list[int] = []
+            for i in ids:
+                if i == -1:
+                    full.extend(next(places)[1])
+                else:
+                    full.append(i)
+            out.append(full)
+        yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
+
+
+def _split_rows(texts: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, str]:
+    rows = texts.select(F.monotonically_increasing_id().alias("_r"), F.col(id_col).alias("doc_id"), *keep, F.when(F.length(text_col) > 0, split(F.col(text_col))).alias("ws"))
+    return rows, ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "ws")
+
 
-    The words travel with each text as one array; only its distinct words outside the frequent list are exploded.
-    """
-    top = {r.word: list(r.ids) for r in table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").collect()}
-    known = texts.sparkSession.createDataFrame([(w,) for w in top], "word string") if top else None
-    docs = texts.select(F.col(id_col).alias("doc_id"), F.when(F.length(text_col) > 0, split(F.col(text_col))).alias("ws"))
-    words = docs.select("doc_id", F.explode(F.array_distinct("ws")).alias("word"))
-    if known is not None:
-        words = words.join(F.broadcast(known), "word", "left_anti")
-    cold = words.join(table.select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "ids")).alias("cold"))
-    return docs.join(cold, "doc_id", "left").mapInPandas(_joined(top), "doc_id bigint, ids array<int>")
+def encode(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, ids) of every row. `table` is read twice: written() spares encoding again."""
+    rows, kind = _split_rows(texts, id_col, text_col, [])
+    parts = written(rows.mapInPandas(_parts(_hot(table, hot), ["_r", "doc_id"]), kind + ", ids array<int>, cold array<string>"), "partes")
+    places = parts.where(F.size("cold") > 0).select("_r", F.posexplode("cold").alias("pos", "word"))
+    found = places.join(table.select("word", "ids"), "word").groupBy("_r").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
+    whole = parts.where(F.size("cold") == 0).select("doc_id", "ids")
+    rest = parts.where(F.size("cold") > 0).select("_r", "doc_id", "ids").join(found, "_r").select("doc_id", "ids", "found")
+    return whole.unionByName(rest.mapInPandas(_filled, whole.schema))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -99,6 +127,30 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.decode(F.unhex(hexed), "UTF-8").alias("text"))
 
 
-def token_counts(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens) of every row, 0 for null and empty texts."""
-    return encode(texts, table, id_col, text_col).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
+def _counts(hot: dict[str, int], keep: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums, colds = [], []
+            for ws in b["ws"]:
+                n, cold = 0, []
+                for w in ws if ws is not None else ():
+                    if (k := hot.get(w)) is not None:
+                        n += k
+                    else:
+                        cold.append(w)
+                sums.append(n)
+                colds.append(cold)
+            yield pd.DataFrame({**{c: b[c] for c in keep}, "_n": sums, "cold": colds})
+
+    return run
+
+
+def token_counts(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
+    """(doc_id, *keep, tokens) of every row, 0 for null and empty texts. No list of ids is made."""
+    keep = keep or []
+    rows, kind = _split_rows(texts, id_col, text_col, keep)
+    sizes = {w: len(ids) for w, ids in _hot(table, hot).items()}
+    parts = written(rows.mapInPandas(_counts(sizes, ["_r", "doc_id", *keep]), kind + ", _n bigint, cold array<string>"), "partes")
+    cold = parts.where(F.size("cold") > 0).select("_r", F.explode("cold").alias("word")).groupBy("_r", "word").agg(F.count(F.lit(1)).alias("k"))
+    more = cold.join(table.select("word", F.size("ids").alias("s")), "word").groupBy("_r").agg(F.sum(F.col("k") * F.col("s")).alias("_m"))
+    return parts.join(more, "_r", "left").select("doc_id", *keep, (F.col("_n") + F.coalesce("_m", F.lit(0))).cast("bigint").alias("tokens"))

@@ -41,8 +41,6 @@ def test_pairs_rules():
     assert pairs.is_empty(None) and pairs.is_empty(" ​") and pairs.is_empty("n/d") and not pairs.is_empty("No.") and not pairs.is_empty("Sí.")
     p = "¿Cómo puedo cerrar la inspección de la cuenta puente?"
     assert pairs.is_copy(p, p.upper()) and pairs.is_copy(p, "Pregunta: " + p) and not pairs.is_copy(p, "No.") and not pairs.is_copy(None, p)
-    assert pairs.is_refusal("Lo siento, no puedo ayudarte con eso. Gracias por tu comprensión.")
-    assert not pairs.is_refusal("No puedo ver tu base, pero el procedimiento es claro. Abra la ficha, elija el periodo y pulse F7 para grabar el registro.")
 
 
 def test_languages():
@@ -433,9 +431,10 @@ def test_chain_of_links_ends(spark):
 def test_limit_decides_open_endings(spark):
     """Texts of whole words without any sign: only the length tells that those of one source were cut."""
     rng = random.Random(8)
-    text = lambda n: " ".join(rng.choice(["obra", "caja", "pago", "saco", "foso", "lote"]) for _ in range(n))
-    rows = [(i, text(rng.randint(8, 36)), "libre") for i in range(400)]
-    rows += [(1000 + i, text(rng.randint(8, 36))[:99], "limitada") for i in range(400)]
+    text = lambda n: " ".join(rng.choice(["obra", "caja"]) for _ in range(n))
+    free = lambda: "n" * rng.randint(1, 60) + " " + text(rng.randint(6, 30))
+    rows = [(i, free(), "libre") for i in range(400)]
+    rows += [(1000 + i, t if len(t := free()) < 99 else text(20), "limitada") for i in range(400)]  # text(20) has 99 characters
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     found = {i for (i,) in got(cuts.cut_texts(d))}
     want = {i for i, t, s in rows if s == "limitada" and len(t) == 99}
@@ -446,3 +445,91 @@ def test_limit_decides_open_endings(spark):
 def test_null_source_is_no_name(spark):
     d = spark.createDataFrame([(i, "una frase que termina. " * (1 + i % 5), "___" if i % 2 else None) for i in range(40)], "doc_id bigint, text string, source string")
     assert {(r.source, r.textos) for r in cuts.rates(d).collect()} == {("___", 20), (None, 20)}
+
+
+def test_near_matches_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, 24)) for i in range(5)]
+    texts = []
+    for i in range(90):
+        w = items[i % 5][1].split()[rng.randint(0, 8) :][: rng.choice([10, 12, 14, 16])]
+        for _ in range(i % 4):
+            k = rng.randrange(len(w))
+            if rng.random() < 0.4:
+                w.insert(k, "intruso")
+            elif rng.random() < 0.5:
+                w[k : k + 2] = w[k : k + 2][::-1]
+            else:
+                w[k] = "otra"
+        texts.append((i, sentence(rng, 4) + " " + " ".join(w) + " " + sentence(rng, 4)))
+    texts += [(200, None), (201, ""), (202, "partida " * 3000)]
+    run, slack, miss = 12, 3, 1
+    split = {i: words_py(t) for i, t in texts if len(words_py(t)) >= run}
+    held = {i: words_py(t) for i, t in items}
+    df = {w: sum(w in set(ws) for ws in split.values()) for ws in held.values() for w in ws}
+    want = set()
+    for d, ws in split.items():
+        for j, iw in held.items():
+            for s in range(len(iw) - run + 1):
+                rare = sorted((df[iw[p]], p, iw[p]) for p in range(s, s + run))[: miss + 1]
+                for n, r, term in rare:
+                    for a in [p for p, w in enumerate(ws) if w == term] if n else []:
+                        there = sum(any(ws[p] == iw[k] for p in range(max(0, a + k - r - slack), min(len(ws), a + k - r + slack + 1))) for k in range(s, s + run))
+                        if there >= run - miss:
+                            want.add((d, j))
+    a, r = spark.createDataFrame(texts, "artifact_id bigint, content string"), spark.createDataFrame(items, "item_id bigint, content string")
+    found = {(x.doc, x.item): x for x in leaks.near_matches(a, r).collect()}
+    assert set(found) == want and len(want) > 40
+    exact = set(got(leaks.leaked(a, r)))
+    assert exact < want and any(x.movidas for x in found.values())
+    assert got(leaks.near_matches(a.limit(0), r)) == []
+
+
+def test_seeds_without_broadcast(spark, monkeypatch):
+    r = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id bigint, content string")
+    a = spark.createDataFrame([(5, "zz " + " ".join(f"w{i}" for i in range(3, 16))), (6, "w1 w2 w3")], "artifact_id bigint, content string")
+    monkeypatch.setattr(leaks, "SEEDS", 0)
+    assert got(leaks.leaked(a, r)) == [(5, 1)]
+
+
+def test_landing_keeps_expectations():
+    p = np.array([0.2, 0.7, 0.45])
+    draws = np.array([mixes.land(p, np.random.default_rng(i)) for i in range(4000)])
+    assert set(np.unique(draws)) <= {0.0, 1.0} and np.abs(draws.mean(axis=0) - p).max() < 0.03 and set(draws.sum(axis=1)) <= {1.0, 2.0}
+
+
+def test_pieces_are_checked(spark):
+    rng = random.Random(6)
+    f = frag(spark, [dict(fila=i, pagina=[None, "p. 4", "x"][i % 3], texto=t) for i, t in enumerate([sentence(rng, 900) + "\f" + sentence(rng, 500), "corto", " ", None, "y" * 5000])])
+    assert got(splits.checked(f)) == [(i, 0, len((t or "").strip(" \t\r\n"))) for i, t in [(r.fila, r.texto) for r in f.orderBy("fila").collect()] if (t or "").strip()]
+    import unittest.mock
+
+    with unittest.mock.patch.object(splits, "pieces", lambda *a: splits.long_pieces(f).withColumn("desde", F.col("desde") + 1)):
+        assert all(r.piezas_mal for r in splits.checked(f).where("fila in (0, 4)").collect())
+
+
+def test_equal_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "hola obra"), (1, "hola raro"), (None, "obra"), (None, None)], "doc_id bigint, text string")
+    e = tokens._encoder(open(tokens.VOCABULARY, "rb").read())
+    for hot in (0, 2):
+        ids = sorted((r.doc_id or 0, list(r.ids)) for r in tokens.encode(docs, tokens.word_table(docs), hot=hot).collect())
+        assert ids == sorted((i or 0, e.encode_ordinary(t or "")) for i, t in [(1, "hola obra"), (1, "hola raro"), (None, "obra"), (None, None)])
+        n = sorted((r.doc_id or 0, r.tokens) for r in tokens.token_counts(docs, tokens.word_table(docs), hot=hot).collect())
+        assert n == sorted((i, len(x)) for i, x in ids)
+
+
+def test_refusals_are_learned(spark):
+    """Phrases that no labelled sentence holds are learned from answers that share other words with refusals."""
+    rng = random.Random(2)
+    helps = [f"Abra la ficha de {sentence(rng, 3)}, elija el periodo {i} y pulse F7 para grabar {sentence(rng, 4)}." for i in range(3000)]
+    ways = ["Sobre {} corro un tupido velo.", "De {} ni una palabra saldrá.", "Lo de {} se queda en el tintero."]
+    ends_ = ["", " Gracias por tu comprensión.", " Consulte con su administrador.", " No puedo ayudarte con eso."]
+    declines = [rng.choice(ways).format(sentence(rng, 2)) + rng.choice(ends_) for i in range(60)]
+    model = pairs.fit_refusals(helps + declines, helps[:20])
+    unseen = [w.format("la grúa vieja") for w in ways]
+    assert all(model.odds(x) >= pairs.MARGIN for x in unseen)
+    assert all(model.odds(x) < pairs.MARGIN for x in [*helps[:200], "No.", "Sí, con F7.", "No puedo ver tu base, pero el procedimiento es claro. " + helps[0], "Lo siento por la demora: " + helps[1]])
+    rows = spark.createDataFrame([(i, "¿Cómo cierro la partida?", x) for i, x in enumerate(unseen)], "id bigint, prompt string, respuesta string")
+    docs = spark.createDataFrame([(1, "texto " * 30, "es", "s")], "doc_id bigint, text string, lang string, source string")
+    assert sorted(got(pairs.broken(rows, docs, refusals=model))) == [(i, "rechazo") for i in range(3)]
+    assert not [d for _, d in got(pairs.broken(rows, docs, refusals=pairs.Refusals({}, 0.0))) if d == "rechazo"]
