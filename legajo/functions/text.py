@@ -30,6 +30,15 @@ _GAPS = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 _NO_LETTER = bytes(b for b in range(256) if not (97 <= b <= 122 or b == 10))
 
 
+#: White space of Unicode, inside a character class of Java and of RE2 alike.
+SPACE = r"\t\n\x0B\f\r\x{85}\p{Z}"
+
+
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at both ends; trim() knows blanks only."""
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; null stays null. Combining marks are dropped, so both Unicode forms agree."""
     low = F.translate(F.lower(c), _FROM, _TO)

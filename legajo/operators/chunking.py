@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legajo.functions.text import strip
+
 # Entities that the cleaner decodes.
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&euro;": "€", "&copy;": "©"}
+# How a line begins that counts as a heading.
 _HEADING = r"(?i)^(?:cap[íi]tulo|secci[óo]n|paso|tema|gu[íi]a|p[aá]gina|manual|subsecci[óo]n)\b|^\d+(?:[.)]|\s+(?-i:[A-ZÁÉÍÓÚÑ]))"
 
 
@@ -16,11 +19,11 @@ def sliding(df: DataFrame, key: str, text: str, size: int = 800, overlap: int =
     An overlap outside [0, size) counts as 0. Null and blank texts give nothing.
     """
     overlap = overlap if 0 <= overlap < size else 0
-    t = F.trim(F.col(text))
+    t = strip(F.col(text))
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("_t") - size) / F.lit(step))).cast("int")
     rows = df.select(key, t.alias("_t")).where(F.length("_t") > 0).select(key, "_t", F.explode(F.sequence(F.lit(0), last)).alias("n"))
-    return rows.select(key, "n", F.trim(F.substring(F.col("_t"), F.col("n") * step + 1, F.lit(size))).alias("trozo")).where(F.length("trozo") > 0)
+    return rows.select(key, "n", strip(F.substring(F.col("_t"), F.col("n") * step + 1, F.lit(size))).alias("trozo")).where(F.length("trozo") > 0)
 
 
 def folded_chunks(pieces: Column, size: int, overlap: int, separator: str) -> Column:
@@ -38,8 +41,43 @@ def folded_chunks(pieces: Column, size: int, overlap: int, separator: str) -> Co
 
 
 def paragraphs(c: Column) -> Column:
-    """Paragraphs of a text, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, " ", " "), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
+    """Paragraphs of a text, runs of blanks as one, trimmed, blank ones dropped."""
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), lambda p: p != "")
+
+
+def pages_of(c: Column) -> Column:
+    """(pagina, parrafo) of the paragraphs of a text whose pages are parted by form feeds."""
+    return F.flatten(F.transform(F.split(c, "\f"), lambda p, i: F.transform(paragraphs(p), lambda x: F.struct((i + 1).alias("pagina"), x.alias("parrafo")))))
+
+
+def page_chunks(parts: Column, size: int = 1500, overlap: int = 200) -> Column:
+    """(pagina, texto) chunks of (pagina, parrafo): closed when the next paragraph would pass `size`; the next begins with the tail.
+
+    A chunk carries the page of its first paragraph; after a tail that is the page of the paragraph behind the tail.
+    """
+    zero = F.expr("named_struct('buf', '', 'pagina', 1, 'out', cast(array() as array<struct<pagina:int,texto:string>>))")
+
+    def step(s: Column, p: Column) -> Column:
+        full = (s["buf"] != "") & (F.length(s["buf"]) + F.length(p["parrafo"]) + 1 > size)
+        tail = F.concat(F.substring(s["buf"], F.greatest(F.lit(1), F.length(s["buf"]) - overlap + 1), F.lit(overlap)), F.lit("\n"))
+        out = F.when(full, F.concat(s["out"], F.array(F.struct(s["pagina"].alias("pagina"), strip(s["buf"]).alias("texto"))))).otherwise(s["out"])
+        page = F.when(full | (s["buf"] == ""), p["pagina"]).otherwise(s["pagina"])
+        return F.struct(F.concat(F.when(full, tail).otherwise(s["buf"]), p["parrafo"], F.lit("\n")).alias("buf"), page.alias("pagina"), out.alias("out"))
+
+    return F.aggregate(parts, zero, step, lambda s: F.when(strip(s["buf"]) == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["pagina"].alias("pagina"), strip(s["buf"]).alias("texto"))))))
+
+
+def line_chunks(c: Column, size: int = 1400, overlap: int = 150) -> Column:
+    """Chunks of whole lines: a text within `size` is one chunk as it stands; else closed when the next line would pass it."""
+    start = F.expr("named_struct('buf', '', 'out', cast(array() as array<string>))")
+
+    def step(s: Column, x: Column) -> Column:
+        full = (s["buf"] != "") & (F.length(s["buf"]) + F.length(x) + 1 > size)
+        tail = F.concat(F.substring(s["buf"], F.greatest(F.lit(1), F.length(s["buf"]) - overlap + 1), F.lit(overlap)), F.lit("\n"))
+        return F.struct(F.concat(F.when(full, tail).otherwise(s["buf"]), x, F.lit("\n")).alias("buf"), F.when(full, F.concat(s["out"], F.array(strip(s["buf"])))).otherwise(s["out"]).alias("out"))
+
+    cut = F.aggregate(F.split(c, "\n"), start, step, lambda s: F.when(strip(s["buf"]) == "", s["out"]).otherwise(F.concat(s["out"], F.array(strip(s["buf"])))))
+    return F.when(F.length(c) <= size, F.array(c)).otherwise(cut)
 
 
 def clean_html(c: Column) -> Column:
@@ -63,7 +101,7 @@ def is_heading(c: Column) -> Column:
 
 def blocks(c: Column) -> Column:
     """Array of blocks: split at blank lines and before heading-like lines."""
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(c, "\n"), strip)
     start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

@@ -44,12 +44,27 @@ def pending(links: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return links.where(F.col(key).isNotNull()).join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def identity(df: DataFrame, key: str, content: str, order: str) -> DataFrame:
-    """(order, clave): the first row keeps its id, other contents of the same id get a hash suffix, repeats fall out."""
-    v = df.where(F.col(key).isNotNull()).select(F.col(order), F.col(key), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("v"))
-    one = v.groupBy(key, "v").agg(F.min(order).alias(order))
-    first = v.groupBy(key).agg(F.min(order).alias("_first"))
-    return one.join(first, key).select(order, F.when(F.col(order) == F.col("_first"), F.col(key)).otherwise(F.concat(F.col(key), F.lit("-"), F.substring(F.sha2(F.concat(F.col(key), F.col("v")), 256), 1, 12))).alias("clave"))
+def identity(df: DataFrame, key: str, content: str, order: str, version: str = "") -> DataFrame:
+    """(order, clave): the first row keeps its id, rows with other contents than the one before get a hash suffix, repeats fall out.
+
+    The suffix is the start of sha256(content + NUL + version). The first content comes out again, with its suffix, if it returns
+    after another one. Aggregations only, so a hot id is reduced before the shuffle.
+    """
+    nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
+    v = df.where(F.col(key).isNotNull()).select(F.col(order), F.col(key), F.sha2(F.concat(F.coalesce(F.col(content), F.lit("")), nul, F.lit(version)), 256).alias("v"))
+    per = v.groupBy(key, "v").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    first = per.groupBy(key).agg(F.min_by("v", "lo").alias("v1"), F.min("lo").alias("lo1"))
+    marked = per.join(first, key)
+    second = marked.where("v <> v1").groupBy(key).agg(F.min("lo").alias("lo2"))
+    again = marked.where("v = v1").join(second, key).where("hi > lo2").select(key, "v", "lo2")
+    again = v.join(again, [key, "v"]).where(F.col(order) > F.col("lo2")).groupBy(key, "v").agg(F.min(order).alias(order))
+    suffixed = marked.where("v <> v1").select(key, "v", F.col("lo").alias(order)).unionByName(again)
+    return first.select(F.col("lo1").alias(order), F.col(key).alias("clave")).unionByName(suffixed.select(order, F.concat(F.col(key), F.lit("-"), F.substring("v", 1, 12)).alias("clave")))
+
+
+def collisions(named: DataFrame) -> DataFrame:
+    """(clave) of keys that two rows of identity() share: a suffixed id that another row has as its own."""
+    return named.groupBy("clave").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("clave")
 
 
 def fingerprint(df: DataFrame, key: str) -> DataFrame:

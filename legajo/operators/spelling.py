@@ -75,9 +75,12 @@ def key_form(c: Column) -> Column:
     return F.when(s == "", F.trim(F.coalesce(c, F.lit("")))).otherwise(s)
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def _ratio(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def f(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+
+    return f(a, b)
 
 
 def similarity(a: Column, b: Column) -> Column:

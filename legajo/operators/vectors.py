@@ -22,11 +22,15 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
     """(qid, doc_id, score, rank). base: (doc_id, v), queries: (qid, v), both of unit length. A query never finds itself.
 
+    `allowed` is a condition on base, such as a metadata field's value; k below 1 counts as 1.
+
     The stated query set is compared with all rows: a broadcast of the queries, in blocks if there are many.
     """
+    k = max(1, k)
+    base = base if allowed is None else base.where(allowed)
     queries = queries.select("qid", F.col("v").alias("_q"))
     blocks = [queries] if small(queries, QUERIES) else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for n in [1 + queries.count() // QUERIES] for i in range(n)]
     out = None
@@ -55,6 +59,20 @@ def nearest_centroid(base: DataFrame, centres: DataFrame) -> DataFrame:
     return s.groupBy("doc_id").agg(F.max_by(F.struct("label", "score"), F.struct(F.col("score"), -F.col("label"))).alias("b")).select("doc_id", "b.label", "b.score")
 
 
+def leave_one_out(base: DataFrame) -> DataFrame:
+    """(doc_id, clase, nota) of each vector (doc_id, v, label): the closest class by the sum of its vectors without the row's own.
+
+    Classes are few, so their sums are broadcast; a class with no other vector has no sum. Ties go to the smaller class.
+    """
+    parts = base.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    sums = parts.groupBy(F.col("label").alias("clase")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
+    own = F.when(F.col("label") == F.col("clase"), F.lit(1.0)).otherwise(0.0)
+    rest = F.zip_with("s", "v", lambda s, x: s - own * x.cast("double"))
+    d = base.join(F.broadcast(sums)).withColumn("_w", rest).withColumn("_n", F.sqrt(dot(F.col("_w"), F.col("_w")))).where("_n > 1e-9")
+    d = d.select("doc_id", "clase", F.round(dot(F.col("v"), F.col("_w")) / F.col("_n"), 6).alias("nota"))
+    return d.groupBy("doc_id").agg(F.min(F.struct((-F.col("nota")).alias("n"), "clase")).alias("x")).select("doc_id", "x.clase", (-F.col("x.n")).alias("nota"))
+
+
 def rrf(lists: dict[str, tuple[DataFrame, float]], k: int = 10, constant: int = 60) -> DataFrame:
     """(qid, doc_id, score, rank): weighted reciprocal rank fusion; ties by best single rank, then doc_id."""
     union = None

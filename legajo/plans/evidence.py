@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from legajo.functions import analysis
-from legajo.operators import lexical, quality, routing, sampling, vectors
+from legajo.operators import quality, retrieval, routing, sampling, spelling, vectors
 from legajo.plans.registry import query
-from legajo.plans.textual import _COS, _ROOTS, _questions, _roots, _vectors
+from legajo.plans.textual import _NEAR, _ROOTS, _lists, _questions, _roots, _vectors, bm25_sql
 
 _RP, _RR = (f"list_distinct({_ROOTS.replace('lower(text)', f'lower({c})')})" for c in ("prompt", "respuesta"))
 
@@ -54,7 +54,7 @@ def question_nodes(t):
 
 @query()
 def text_sections(t):
-    return quality.sections(t.fragmentos.where("documento = 'web' and texto is not null"), "fila", "texto")
+    return quality.sections(t.fragmentos.where("texto is not null"), "fila", "texto")
 
 
 @query()
@@ -66,17 +66,14 @@ def spelling_by_sound(t):
 @query()
 def fuzzy_terms(t):
     """Rare words and their two closest frequent ones: nearest first, then most frequent, then by name."""
-    from pyspark.sql.window import Window
+    w = t.documents.select("doc_id", F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w"))
+    return spelling.expansions(w.groupBy("w").agg(F.count(F.lit(1)).alias("df")))
 
-    w = t.documents.select("doc_id", F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w")).where(F.col("w").rlike(r"^\p{L}{4,}$"))
-    v = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = v.where("df < 3").select(F.col("w").alias("raro"), F.col("df").alias("n"), F.length("w").alias("l"))
-    near = v.where("df >= 10").select(F.col("w").alias("vecino"), F.col("df").alias("m"), F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)).alias("l"))
-    # Close words share a letter bigram-free length band; the cheap bound prunes before the vectorised distance.
-    p = rare.join(near, "l").where((F.col("m") >= 10 * F.col("n")) & (F.levenshtein("raro", "vecino", 4) >= 0))
-    d = p.withColumn("d", analysis.osa_udf(2)("raro", "vecino")).where((F.col("d") <= 1) | ((F.col("d") == 2) & (F.length("raro") >= 8)))
-    rank = F.row_number().over(Window.partitionBy("raro").orderBy("d", F.desc("m"), "vecino"))
-    return d.withColumn("r", rank).where("r <= 2").select("raro", "vecino", "d", "r")
+
+@query()
+def corrected_words(t):
+    w = t.documents.select("doc_id", F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("word"))
+    return spelling.corrections(w.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
 
 
 @query("""WITH s AS (SELECT vec_id AS id, (vec_id % 41) / 40.0 AS a, (vec_id % 37) / 36.0 AS b, (vec_id % 29) / 28.0 AS c FROM embeddings)
@@ -87,26 +84,21 @@ def rubric_verdicts(t):
     return routing.rubric(s, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.8, "b": 0.7, "c": 0.5})
 
 
-@query(f"""{_COS}, x AS (SELECT qid, doc_id, 'coseno:' || rank AS m FROM r WHERE rank <= 10), y AS (SELECT qid, doc_id, 'cerca:' || k AS m FROM
-(SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY abs(doc_id - qid), doc_id) AS k FROM s) WHERE k <= 10)
-SELECT qid, doc_id, string_agg(m, ',' ORDER BY m) AS metodos FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2""")
+@query(f"""WITH {_NEAR}, lex AS ({bm25_sql(10)}), x AS (SELECT qid, doc_id, 'coseno:' || rank AS m FROM vec WHERE rank <= 10 UNION ALL SELECT qid, doc_id, 'lexico:' || rank FROM lex)
+SELECT qid, doc_id, string_agg(m, ',' ORDER BY m) AS metodos FROM x GROUP BY 1, 2""")
 def pooled_judgments(t):
-    from pyspark.sql.window import Window
+    lex, vec = _lists(t, 10)
+    return quality.pooled({"coseno": vec, "lexico": lex})
 
-    base, q = _vectors(t)
-    other = base.select("doc_id").join(F.broadcast(q.select("qid")), F.col("doc_id") != F.col("qid"))
-    other = other.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("doc_id") - F.col("qid")), "doc_id")))
-    return quality.pooled({"coseno": vectors.cosine_topk(base.drop("label"), q), "cerca": other})
 
+_SETTINGS = [(0.9, 0.4), (1.2, 0.75), (1.6, 0.75)]
 
-@query()
+
+@query(" UNION ALL ".join(f"SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, qid, doc_id, score, rank FROM ({bm25_sql(10, k1, b)})" for k1, b in _SETTINGS))
 def bm25_sweep(t):
-    """The ranking under several constants; the index is read once for each pair."""
-    out = None
-    for k1, b in ((0.9, 0.4), (1.2, 0.75), (1.6, 0.75)):
-        part = lexical.bm25f(t.documents, {"texto": F.col("text")}, _questions(t), k1=k1, b=b, analyzer=_roots).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "qid", "doc_id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The ranking under several constants from one index."""
+    index = retrieval.build(t.documents, {"texto": F.col("text")}, _roots)
+    return retrieval.sweep(index, _questions(t), _SETTINGS, analyzer=_roots).select("k1", "b", "qid", "doc_id", "score", "rank")
 
 
 @query()
@@ -115,15 +107,16 @@ def proportional_quota(t):
     return sampling.proportional(sizes, "source", "n", 500)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS clase, i, sum(x) AS s FROM e GROUP BY 1, 2),
+d AS (SELECT vec_id, label, clase, sum(x * (s - CASE WHEN label = clase THEN x ELSE 0 END)) AS p, sqrt(sum((s - CASE WHEN label = clase THEN x ELSE 0 END) ** 2)) AS n FROM e JOIN c USING (i) GROUP BY 1, 2, 3),
+r AS (SELECT vec_id, label, clase, round(p / n, 6) AS nota, row_number() OVER (PARTITION BY vec_id ORDER BY round(p / n, 6) DESC, clase) AS k FROM d WHERE n > 1e-9)
+SELECT vec_id AS doc_id, clase, nota FROM r WHERE k = 1""")
 def leave_one_out(t):
-    """Accuracy of the nearest other vector's label over the stated query set."""
-    base, q = _vectors(t)
-    near = vectors.cosine_topk(base.drop("label"), q, 1).join(base.select("doc_id", F.col("label").alias("dicho")), "doc_id")
-    real = base.select(F.col("doc_id").alias("qid"), "label")
-    return near.join(real, "qid").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("dicho") == F.col("label")).cast("int")).alias("acierto"))
+    """The closest class of every vector when its own vector is taken out of its class."""
+    base, _ = _vectors(t)
+    return vectors.leave_one_out(base)
 
 
 @query("""SELECT n_regionkey AS region, n_name AS nodo FROM nation EXCEPT SELECT r_regionkey, r_name FROM region""")
 def class_difference(t):
-    return t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("nodo")).exceptAll(t.region.select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("nodo")))
+    return t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("nodo")).subtract(t.region.select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("nodo")))

@@ -167,12 +167,12 @@ def inventory(t):
     return t.manifiesto.groupBy(F.coalesce("archivo", F.lit("")).alias("archivo")).agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("sha256").alias("versiones"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
-@query("""WITH r AS (SELECT fila, id, manual, sha256(coalesce(texto, '')) AS v FROM fragmentos WHERE id IS NOT NULL),
-f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fila) AS n, first_value(v) OVER (PARTITION BY id ORDER BY fila) AS v0,
-row_number() OVER (PARTITION BY id, v ORDER BY fila) AS k FROM r)
-SELECT fila, CASE WHEN n = 1 THEN id ELSE id || '-' || left(sha256(id || v), 12) END AS clave FROM f WHERE k = 1""")
+@query("""WITH r AS (SELECT fila, id, sha256(coalesce(texto, '') || chr(0) || 'v1') AS v FROM fragmentos WHERE id IS NOT NULL),
+o AS (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY fila) AS antes, row_number() OVER (PARTITION BY id ORDER BY fila) AS n FROM r),
+s AS (SELECT fila, id, CASE WHEN n = 1 THEN id ELSE id || '-' || left(v, 12) END AS clave, n, v FROM o WHERE n = 1 OR v <> antes)
+SELECT min(fila) AS fila, clave FROM s GROUP BY id, clave""")
 def fragment_identity(t):
-    return maintenance.identity(t.fragmentos, "id", "texto", "fila")
+    return maintenance.identity(t.fragmentos, "id", "texto", "fila", "v1")
 
 
 @query("""SELECT manual, count(*) AS filas, count(DISTINCT id) AS ids, sum(length(coalesce(texto, '')))::BIGINT AS letras, sum((texto IS NULL OR trim(texto) = '')::INT)::BIGINT AS vacios
@@ -182,10 +182,11 @@ def fragment_totals(t):
     return t.fragmentos.groupBy("manual").agg(F.count(F.lit(1)).alias("filas"), F.countDistinct("id").alias("ids"), F.sum(F.length(F.coalesce("texto", F.lit("")))).alias("letras"), F.count_if(blank).alias("vacios"))
 
 
-@query("""SELECT manual, string_agg(DISTINCT pagina, ',' ORDER BY pagina) AS paginas, count(*) AS citas FROM fragmentos WHERE manual IS NOT NULL AND seccion IS NULL AND pagina IS NOT NULL GROUP BY 1""")
+@query("""SELECT manual, coalesce(seccion, '') AS seccion, string_agg(DISTINCT pagina, ',' ORDER BY pagina) AS paginas, string_agg(DISTINCT imagen, ',' ORDER BY imagen) AS imagenes, count(*) AS citas FROM fragmentos WHERE manual IS NOT NULL GROUP BY 1, 2""")
 def source_summary(t):
-    f = t.fragmentos.where("manual is not null and seccion is null and pagina is not null")
-    return f.groupBy("manual").agg(F.array_join(F.array_sort(F.collect_set("pagina")), ",").alias("paginas"), F.count(F.lit(1)).alias("citas"))
+    f = t.fragmentos.where("manual is not null")
+    joined = lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit("")).alias
+    return f.groupBy("manual", F.coalesce("seccion", F.lit("")).alias("seccion")).agg(joined("pagina")("paginas"), joined("imagen")("imagenes"), F.count(F.lit(1)).alias("citas"))
 
 
 # --- sampling and conversations ----------------------------------------------------------------------------------------

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from legajo.functions import analysis
-from legajo.operators import chunking, lexical, routing, vectors
+from legajo.operators import chunking, lexical, retrieval, routing, spelling, vectors
 from legajo.plans.registry import query
 from legajo.session import written
 
@@ -35,9 +34,18 @@ def index_terms(t):
     return per.groupBy("termino").agg(F.sum("n").alias("veces"), F.count("doc_id").alias("docs"))
 
 
-_CHUNKS = """WITH t AS (SELECT doc_id, trim(text, ' ') AS s FROM documents WHERE length(trim(text, ' ')) > 0),
-n AS (SELECT doc_id, s, unnest(generate_series(0, greatest(0, ceil((length(s) - 800) / 650.0)::INT))) AS n FROM t)
-SELECT doc_id, n::INT AS n, trim(substring(s, n * 650 + 1, 800), ' ') AS trozo FROM n WHERE length(trim(substring(s, n * 650 + 1, 800), ' ')) > 0"""
+#: White space at both ends goes, of any kind.
+_SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+_CHUNKS = f"""WITH t AS (SELECT doc_id, {_strip("text")} AS s FROM documents),
+x AS (SELECT doc_id, s, unnest(range(0, length(s), 650)) AS ini FROM t WHERE s <> ''),
+y AS (SELECT doc_id, (ini // 650)::INT AS n, {_strip("substring(s, ini + 1, 800)")} AS trozo FROM x WHERE ini = 0 OR ini - 650 + 800 < length(s))
+SELECT doc_id, n, trozo FROM y WHERE trozo <> ''"""
 
 
 @query(_CHUNKS)
@@ -47,17 +55,23 @@ def chunk_sliding(t):
 
 @query()
 def chunk_paragraphs(t):
-    c = chunking.folded_chunks(chunking.paragraphs(F.col("texto")), 1500, 200, "\n\n")
-    return t.fragmentos.where("texto is not null").select("fila", F.posexplode(c).alias("n", "trozo"))
+    c = chunking.page_chunks(chunking.pages_of(F.col("texto")))
+    return t.fragmentos.where("texto is not null").select("fila", F.posexplode(c).alias("n", "x")).select("fila", "n", "x.pagina", F.col("x.texto").alias("trozo"))
 
 
 @query()
 def chunk_lines(t):
-    c = chunking.folded_chunks(F.filter(F.split("texto", "\n"), lambda x: F.trim(x) != ""), 1400, 150, "\n")
-    return t.fragmentos.where("texto is not null").select("fila", F.posexplode(c).alias("n", "trozo"))
+    return t.fragmentos.where("texto is not null").select("fila", F.posexplode(chunking.line_chunks(F.col("texto"))).alias("n", "trozo"))
 
 
-@query()
+_LINES = f"SELECT fila, {_strip('l')} AS l, p FROM (SELECT fila, unnest(string_split(texto, chr(10))) AS l, generate_subscripts(string_split(texto, chr(10)), 1) AS p FROM fragmentos WHERE texto IS NOT NULL)"
+_TITLE = r"""length(l) <= 120 AND (regexp_matches(l, '(?i)^(?:cap[íi]tulo|secci[óo]n|paso|tema|gu[íi]a|p[aá]gina|manual|subsecci[óo]n)\b') OR regexp_matches(l, '^\d+(?:[.)]|\s+[A-ZÁÉÍÓÚÑ])')
+OR (contains(l, ':') AND length(l) - length(replace(l, ' ', '')) <= 8) OR (upper(l) = l AND regexp_matches(l, '[A-ZÁÉÍÓÚÑ]')))"""
+
+
+@query(f"""WITH l AS ({_LINES}), m AS (SELECT *, CASE WHEN l = '' THEN 1 WHEN {_TITLE} THEN 1 ELSE 0 END AS s FROM l),
+g AS (SELECT *, sum(s) OVER (PARTITION BY fila ORDER BY p) AS b FROM m), k AS (SELECT fila, b, string_agg(l, chr(10) ORDER BY p) AS bloque FROM g WHERE l <> '' GROUP BY 1, 2)
+SELECT fila, (row_number() OVER (PARTITION BY fila ORDER BY b) - 1)::INT AS n, bloque FROM k""")
 def block_split(t):
     return t.fragmentos.where("texto is not null").select("fila", F.posexplode(chunking.blocks(F.col("texto"))).alias("n", "bloque"))
 
@@ -81,14 +95,20 @@ def urls(t):
 
 
 def _kind_sql() -> str:
-    s = "' ' || trim(regexp_replace(translate(lower(prompt), 'áéíóúü¿?¡!,.:;', 'aeiouu        '), '\\s+', ' ', 'g'), ' ') || ' '"
-    cases = " ".join(f"WHEN {' OR '.join(f'''contains(s, '{x}')''' for x in cues)} THEN '{k}'" for k, cues in routing.CUES.items())
-    return f"SELECT tipo, count(*) AS n FROM (SELECT CASE {cases} ELSE 'informacion_directa' END AS tipo FROM (SELECT {s} AS s FROM linea_base WHERE prompt IS NOT NULL)) GROUP BY 1"
+    signs = f"translate(lower({_strip(f"regexp_replace(content, '{_SPACE}+', ' ', 'g')")}), 'áéíóúü¿?¡!,.:;', 'aeiouu        ')"
+    hit = lambda s, cues: " OR ".join(f"contains({s}, '{x}')" for x in cues)
+    cases = " ".join(f"WHEN {hit("' ' || s || ' '" if k == 'procedimiento' else 's', cues)} THEN '{k}'" for k, cues in routing.CUES.items())
+    return f"""WITH u AS (SELECT artifact_id, ' ' || {_strip(signs)} || ' ' AS s, EXISTS (SELECT 1 FROM artifacts b WHERE b.archivo = a.archivo AND b.ejemplo = a.ejemplo AND b.role = 'user' AND b.turno < a.turno) AS sigue
+FROM artifacts a WHERE role = 'user' AND content IS NOT NULL)
+SELECT artifact_id, CASE WHEN sigue AND ({hit('s', routing.FOLLOWS)}) THEN 'seguimiento' {cases} ELSE 'informacion_directa' END AS tipo FROM u"""
 
 
 @query(_kind_sql())
 def question_kinds(t):
-    return t.linea_base.where("prompt is not null").groupBy(routing.question_kind(F.col("prompt")).alias("tipo")).agg(F.count(F.lit(1)).alias("n"))
+    u = t.artifacts.where("role = 'user'")
+    first = u.groupBy("archivo", "ejemplo").agg(F.min("turno").alias("_t"))
+    rows = u.where("content is not null").join(first, ["archivo", "ejemplo"], "left")
+    return rows.select("artifact_id", routing.question_kind(F.col("content"), F.col("turno") > F.col("_t")).alias("tipo"))
 
 
 @query()
@@ -104,29 +124,18 @@ def version_bucket(t):
     return t.documents.select("doc_id", analysis.bucket(F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string"))).alias("cubo"))
 
 
-#: Words up to two letters longer are looked up by what deletions leave of them; those strings grow with the square of the length.
-_DELETED = 40
+def _words(t):
+    """(w, df): words of five letters or more with the documents that hold them."""
+    return t.documents.select(F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("w").rlike(r"^\p{L}{5,}$"))
 
 
 @query()
 def damerau_pairs(t):
-    """Vocabulary words one or two restricted edits apart: every rare word with every frequent one.
-
-    Two edits take at most two letters from either word, so close words leave a common string of the longer one's length
-    less two. Words that are too long for that, and words up to two letters shorter, are paired by length alone.
-    """
-    v = t.documents.select(F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("w").rlike(r"^\p{L}{5,}$"))
-    v = written(v.where("df < 3 or df >= 10"), "vocabulario")  # its four uses would each read the texts
-    a = v.where("df < 3").select(F.col("w").alias("raro"), F.col("df").alias("na"), F.length("w").alias("la"))
-    b = v.where("df >= 10").select(F.col("w").alias("comun"), F.col("df").alias("nb"), F.length("w").alias("lb"))
-    left = lambda x, w, n: x.where(F.col(n) <= _DELETED + 2).withColumn("k", F.explode(analysis.deletions_udf(2)(w)))
-    short = left(a, "raro", "la").join(left(b, "comun", "lb"), "k").where(F.length("k") == F.greatest("la", "lb") - 2).drop("k")
-    # Pairs with a word above _DELETED + 2, so that both are above _DELETED; all others leave a common string.
-    band = b.where(F.col("lb") > _DELETED).withColumn("l", F.explode(F.sequence(F.col("lb") - 2, F.col("lb") + 2)))
-    long = a.where(F.col("la") > _DELETED).join(band, F.col("la") == F.col("l")).where(F.greatest("la", "lb") > _DELETED + 2).drop("l")
-    # A transposition counts as two plain edits at most, so the cheap bound loses nothing.
-    p = short.distinct().unionByName(long).where((F.col("nb") >= 10 * F.col("na")) & (F.levenshtein("raro", "comun", 4) >= 0))
-    return p.withColumn("d", analysis.osa_udf(2)("raro", "comun")).where("d <= 2").select("raro", "comun", "d")
+    """Vocabulary words one or two restricted edits apart: every rare word with every frequent one that is ten times as frequent."""
+    v = written(_words(t).where("df < 3 or df >= 10"), "vocabulario")
+    p = spelling.close_words(v.where("df < 3").select(F.col("w").alias("raro")), v.where("df >= 10").select(F.col("w").alias("comun")))
+    p = p.join(v.select(F.col("w").alias("raro"), F.col("df").alias("na")), "raro").join(v.select(F.col("w").alias("comun"), F.col("df").alias("nb")), "comun")
+    return p.where(F.col("nb") >= 10 * F.col("na")).select("raro", "comun", "d")
 
 
 def _questions(t):
@@ -197,18 +206,38 @@ def centroid_label(t):
     return vectors.nearest_centroid(base, vectors.centroids(base))
 
 
-@query(f"""{_COS}, x AS (SELECT qid, doc_id, rank AS r1 FROM r WHERE rank <= 50),
-y AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY abs(doc_id - qid), doc_id) AS r2 FROM s),
-z AS (SELECT qid, doc_id, r1, r2 FROM x FULL OUTER JOIN (SELECT * FROM y WHERE r2 <= 50) USING (qid, doc_id)),
-f AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + r1), 0) + coalesce(0.1 / (60 + r2), 0), 9) AS score, least(coalesce(r1, 999), coalesce(r2, 999)) AS b FROM z)
-SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, b, doc_id)::INT AS rank FROM f) WHERE rank <= 10""")
-def rrf_fusion(t):
+def bm25_sql(k: int, k1: float = 1.2, b: float = 0.75, where: str = "true") -> str:
+    """The ranking of the documents for the stated queries."""
+    return _BM25.replace("0.75 + 0.75", f"{b} + {b}").replace("* 2.2 / (1.2 + s)", f"* {k1 + 1} / ({k1} + s)").replace("GROUP BY 1, 2)", f"GROUP BY 1, 2 HAVING doc_id IN (SELECT doc_id FROM documents WHERE {where}))").replace("rank <= 10", f"rank <= {k}")
+
+
+#: Similarity of each stated question's vector with all others, at most 50.
+_NEAR = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 50)"""
+
+
+def _fused(w: float, k: int = 10) -> str:
+    return f"""WITH {_NEAR}, lex AS ({bm25_sql(50)}), z AS (SELECT qid, doc_id, lex.rank AS r1, vec.rank AS r2 FROM lex FULL OUTER JOIN vec USING (qid, doc_id)),
+f AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + r1), 0) + coalesce({w} / (60 + r2), 0), 9) AS score, least(coalesce(r1, 999), coalesce(r2, 999)) AS b FROM z)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, b, doc_id)::INT AS rank FROM f) WHERE rank <= {k}"""
+
+
+def _lists(t, k=50):
+    """The two rankings of the stated questions: words of the documents, and vectors of the same numbers."""
     base, q = _vectors(t)
-    near = vectors.cosine_topk(base.drop("label"), q, 50)
-    other = base.select("doc_id").join(F.broadcast(q.select("qid")), F.col("doc_id") != F.col("qid"))
-    w = Window.partitionBy("qid").orderBy(F.abs(F.col("doc_id") - F.col("qid")), "doc_id")
-    other = other.withColumn("rank", F.row_number().over(w)).where("rank <= 50")
-    return vectors.rrf({"vector": (near, 1.0), "lexico": (other, 0.1)})
+    index = retrieval.build(t.documents, {"texto": F.col("text")}, _roots)
+    return retrieval.search(index, _questions(t), k, analyzer=_roots), vectors.cosine_topk(base.drop("label"), q, k)
+
+
+@query(_fused(0.1))
+def hybrid_topk(t):
+    return retrieval.hybrid(*_lists(t))
+
+
+@query(_fused(1.0))
+def rrf_fusion(t):
+    lexical_, vector = _lists(t)
+    return vectors.rrf({"vector": (vector, 1.0), "lexico": (lexical_, 1.0)})
 
 
 @query()
@@ -219,8 +248,22 @@ def context_select(t):
     return routing.select_context(near.select("qid", "doc_id", (1 - F.col("score")).alias("distancia"), F.col("label").cast("string").alias("cita"), trust.alias("confianza")))
 
 
-@query(f"""{_COS}, c AS (SELECT qid, doc_id, score FROM r WHERE rank <= 5), o AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN lead(score) OVER w ELSE max(score) OVER (PARTITION BY qid) END AS o FROM c WINDOW w AS (PARTITION BY qid ORDER BY score DESC, doc_id))
-SELECT qid, doc_id, score, score >= 0.5 OR (score >= 0.3 AND coalesce(score >= 1.4 * o, true)) AS aceptado, round(score - o, 9) AS margen FROM o""")
-def acceptance(t):
+_FIVE = f"{_COS}, c AS (SELECT qid, doc_id, score, round(score * (1 + doc_id % 7), 6) AS lexico, label AS elemento, rank FROM r JOIN embeddings ON vec_id = doc_id WHERE rank <= 5)"
+
+
+def _five(t):
+    """The five nearest vectors of the stated queries, with their label as element and a second score made from the first."""
     base, q = _vectors(t)
-    return routing.accepted(vectors.cosine_topk(base.drop("label"), q, 5).select("qid", "doc_id", "score"))
+    near = vectors.cosine_topk(base.drop("label"), q, 5).join(base.select("doc_id", F.col("label").alias("elemento")), "doc_id")
+    return near.withColumn("lexico", F.round(F.col("score") * (1 + F.col("doc_id") % 7), 6))
+
+
+@query(f"""{_FIVE}, x AS (SELECT a.qid, a.doc_id, a.score, a.lexico, greatest(0, coalesce((SELECT max(b.lexico) FROM c b WHERE b.qid = a.qid AND b.elemento <> a.elemento), 0)) AS rival FROM c a)
+SELECT qid, doc_id, score, lexico, rival::DOUBLE AS rival, score >= 0.6 OR (score >= 0.3 AND lexico > 0 AND CASE WHEN rival = 0 THEN score >= 0.45 ELSE lexico >= 1.4 * rival END) AS aceptado FROM x""")
+def acceptance(t):
+    return routing.accepted(_five(t)).select("qid", "doc_id", "score", "lexico", "rival", "aceptado")
+
+
+@query(f"""{_FIVE} SELECT a.qid, coalesce(b.score >= 0.2 AND b.score >= a.score - 0.05 AND NOT (a.lexico > 0 AND b.lexico < 0.95 * a.lexico), false) AS ambigua FROM c a LEFT JOIN c b ON b.qid = a.qid AND b.rank = 2 WHERE a.rank = 1""")
+def ambiguity(t):
+    return routing.ambiguous(_five(t), threshold=0.2)

@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "legajo-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,15 +54,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back.
 
     Unlike localCheckpoint the copy survives the loss of an executor, and unlike checkpoint() it is compressed and
-    can be read column by column. The files go away when the process ends.
+    can be read column by column. The files go away when the process ends, or with forget().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_paths: dict[str, list[str]] = {}
+
+
+def forget(spark: SparkSession) -> int:
+    """Drop everything written() has put into the shared folder so far, once the results that read it are stored; says how many."""
+    gone = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in gone:
+        _drop(spark, path)
+    return len(gone)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

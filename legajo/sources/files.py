@@ -23,21 +23,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All rows of a file, a folder or a glob; no file gives no rows. A bad line gives a row in `_corrupt_record`; `_archivo` names the file."""
+    """All rows of a file, a folder or a glob; no file gives no rows. A bad line gives a row in `_corrupt_record`; `_archivo` names the file, `_lugar` the place in it."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     if not _exists(spark, path):
-        return spark.createDataFrame([], T.StructType([*full.fields, T.StructField("_archivo", T.StringType())]))
+        empty = spark.createDataFrame([], T.StructType([*full.fields, T.StructField("_archivo", T.StringType())]))
+        return empty.withColumn("_lugar", F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n")))
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return lines.select(F.col("_metadata.file_name").alias("_archivo"), row.alias("r")).select("r.*", "_archivo")
+    # lines of one split are read in order, splits of one file follow each other by their start
+    at = F.struct(F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("n")).alias("_lugar")
+    return lines.select(F.col("_metadata.file_name").alias("_archivo"), at, row.alias("r")).select("r.*", "_archivo", "_lugar")
 
 
-def tolerant(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems): the first row of each key, and bad lines and repeats with their file."""
-    raw = read_jsonl(spark, path, schema).withColumn("_n", F.monotonically_increasing_id())
+def tolerant(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], main: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, problems): the first row of each key, and bad lines and repeats with their file. Files go by name, `main` before all."""
+    raw = read_jsonl(spark, path, schema).withColumn("_n", F.struct((~F.col("_archivo").eqNullSafe(F.lit(main))).alias("m"), F.col("_archivo").alias("a"), F.col("_lugar").alias("l")))
     good = raw.where("_corrupt_record is null")
-    first = good.groupBy(*keys).agg(F.min(F.struct("_archivo", "_n")).alias("_f"))
-    marked = good.join(first, keys).withColumn("_dup", F.struct("_archivo", "_n") != F.col("_f"))
+    first = good.groupBy(*keys).agg(F.min("_n").alias("_f"))
+    marked = good.join(first, keys).withColumn("_dup", F.col("_n") != F.col("_f"))
     problems = raw.where("_corrupt_record is not null").select("_archivo", F.lit("linea").alias("clase"), F.col("_corrupt_record").alias("dato")).unionByName(
         marked.where("_dup").select("_archivo", F.lit("repetido").alias("clase"), F.to_json(F.struct(*keys)).alias("dato"))
     )
