@@ -196,3 +196,9 @@ SELECT fila, 0::INT AS piezas_mal, length({(T := "trim(texto, ' ' || chr(9) || c
 
 ORACLES["p9_check"] = """
 SELECT DISTINCT plan, source, 0::INT AS sobre_tope, 0::BIGINT AS dobles, 0::BIGINT AS ajenos, true AS cerca FROM mezcla WHERE plan IS NOT NULL AND source IS NOT NULL"""
+
+ORACLES["p5_found"] = f"""
+WITH w AS (SELECT fila, {_WORDS.format("texto")} AS w FROM fragmentos WHERE texto IS NOT NULL), g AS (SELECT fila, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 30),
+c AS (SELECT g, min(fila) AS c, len(g) AS n FROM g GROUP BY g), u AS (SELECT c, n, unnest(g) AS s FROM c), b AS (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS k FROM u x JOIN u y ON x.s = y.s AND x.c < y.c AND x.n <= 2 * y.n AND y.n <= 2 * x.n GROUP BY 1, 2, 3, 4),
+p AS (SELECT a, b FROM b WHERE k >= 0.6 * (na + nb - k) UNION ALL SELECT c, c FROM c), f AS (SELECT g.fila, c.c FROM g JOIN c USING (g))
+SELECT least(x.fila, y.fila) AS fila_a, greatest(x.fila, y.fila) AS fila_b FROM p JOIN f x ON x.c = p.a JOIN f y ON y.c = p.b WHERE p.a <> p.b OR x.fila < y.fila"""
