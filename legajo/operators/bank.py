@@ -112,9 +112,9 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 def step_violations(steps: DataFrame, key: str) -> DataFrame:
     """(key, regla) of procedures (key, n, paso_id, accion, fotos): numbers not consecutive from 1, repeated step ids, blank actions, a photo in two steps."""
     g = steps.groupBy(key).agg(F.min("n").alias("a"), F.max("n").alias("b"), F.count(F.lit(1)).alias("c"), F.countDistinct("n").alias("d"), F.countDistinct("paso_id").alias("i"), F.count_if(F.coalesce(strip(F.col("accion")) == "", F.lit(True))).alias("v"))
-    photos = steps.select(key, "n", F.explode(F.array_distinct("fotos")).alias("foto")).groupBy(key, "foto").agg(F.count(F.lit(1)).alias("k")).groupBy(key).agg(F.max("k").alias("k"))
+    photos = steps.select(key, "n", F.explode(F.array_distinct("fotos")).alias("foto")).groupBy(key, "foto").agg(F.count(F.lit(1)).alias("_k")).groupBy(key).agg(F.max("_k").alias("_k"))
     rows = g.join(photos, key, "left")
-    return violations(rows, key, {"numeracion": (F.col("a") == 1) & (F.col("b") == F.col("c")) & (F.col("d") == F.col("c")), "paso_repetido": F.col("i") == F.col("c"), "accion_vacia": F.col("v") == 0, "foto_repetida": F.coalesce(F.col("k") <= 1, F.lit(True))})
+    return violations(rows, key, {"numeracion": (F.col("a") == 1) & (F.col("b") == F.col("c")) & (F.col("d") == F.col("c")), "paso_repetido": F.col("i") == F.col("c"), "accion_vacia": F.col("v") == 0, "foto_repetida": F.coalesce(F.col("_k") <= 1, F.lit(True))})
 
 
 def reference_problems(cites: DataFrame, base: DataFrame) -> DataFrame:

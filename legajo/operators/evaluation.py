@@ -85,7 +85,7 @@ def target_point(curve: DataFrame, precision: float = 0.9, by: list[str] | None
     """The threshold of greatest coverage whose precision reaches the target, the smallest of equals."""
     by = by or []
     rows = curve.where(F.col("precision") >= precision)
-    return rows.groupBy(*by).agg(F.min(F.struct((-F.col("cobertura")).alias("c"), "umbral", "precision")).alias("x")).select(*by, "x.umbral", (-F.col("x.c")).alias("cobertura"), "x.precision")
+    return rows.groupBy(*by).agg(F.min(F.struct((-F.col("cobertura")).alias("c"), "umbral", "precision")).alias("x")).where("x is not null").select(*by, "x.umbral", (-F.col("x.c")).alias("cobertura"), "x.precision")
 
 
 def cross_calibrated(df: DataFrame, key: str, real: str, said: str, score: str, repeats: int = 10, cost: float = 1.0) -> DataFrame:
@@ -149,22 +149,15 @@ def verdict(before: DataFrame, now: DataFrame, success: str, invention: str) ->
 
 
 def aligned(steps: DataFrame) -> DataFrame:
-    """(caso, n, m): greedy alignment in order of wanted step n with delivered step m; steps: (caso, n, m, parecido) of the pairs alike enough.
+    """(caso, n, m): greedy alignment in order of wanted step n with delivered step m; steps: (caso, n, m) of the pairs alike enough.
 
-    Each wanted step takes the first delivered one behind the last one taken; the pairs of one case are one group.
+    Each wanted step takes the first delivered one behind the last one taken; the pairs of one case are one array.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], -1
-        for n, own in pdf.sort_values(["n", "m"]).groupby("n"):
-            later = [m for m in own["m"] if m > last]
-            if later:
-                last = later[0]
-                out.append((pdf["caso"].iloc[0], n, last))
-        return pd.DataFrame(out, columns=["caso", "n", "m"])
-
-    return steps.groupBy("caso").applyInPandas(fold, f"caso {steps.schema['caso'].dataType.simpleString()}, n bigint, m bigint")
+    pairs = steps.groupBy("caso").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("bigint").alias("n"), F.col("m").cast("bigint").alias("m")))).alias("x"))
+    zero = F.expr("cast(array() as array<struct<n:bigint,m:bigint>>)")
+    last = lambda s, c: F.coalesce(F.try_element_at(s, F.lit(-1))[c], F.lit(-1))
+    taken = F.aggregate("x", zero, lambda s, p: F.when((p["n"] > last(s, "n")) & (p["m"] > last(s, "m")), F.concat(s, F.array(p))).otherwise(s))
+    return pairs.select("caso", F.explode(taken).alias("x")).select("caso", "x.n", "x.m")
 
 
 def expected_level(probabilities: str) -> Column:

@@ -77,3 +77,27 @@ def delta(before: DataFrame, now: DataFrame, by: str) -> DataFrame:
     a, b = (x.groupBy(by).agg(F.count(F.lit(1)).alias(n)) for x, n in ((before, "antes"), (now, "ahora")))
     j = a.join(b, by, "full_outer").fillna(0, ["antes", "ahora"])
     return j.withColumn("cambio", F.col("ahora") - F.col("antes"))
+
+
+def crawl_state(rows: DataFrame, key: str, content: str, order: list[str]) -> DataFrame:
+    """(key, huella, cambio): 16 hex digits of the hash of the last content of each address, and whether it ever changed."""
+    h = rows.where(F.col(key).isNotNull()).withColumn("_h", F.substring(F.sha2(F.coalesce(F.col(content), F.lit("")), 256), 1, 16))
+    per = h.groupBy(key, "_h").agg(F.max(_order(order)).alias("_o"))
+    return per.groupBy(key).agg(F.max_by("_h", "_o").alias("huella"), (F.count(F.lit(1)) > 1).alias("cambio"))
+
+
+def member_first(rows: DataFrame, key: str, walled: str, order: list[str]) -> DataFrame:
+    """The last row of each address, but a page behind a wall never replaces one that could be read."""
+    o = F.struct((~F.coalesce(F.col(walled), F.lit(False))).alias("open"), _order(order).alias("o"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), o).alias("_r")).select("_r.*")
+
+
+def fingerprints(rows: DataFrame, by: str, ident: str, order: str) -> DataFrame:
+    """(by, huella): sha256 of the ids of each group in order, end to end; the ids of one group meet in one place."""
+    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, ident))).alias("x"))
+    return g.select(by, F.sha2(F.array_join(F.transform("x", lambda r: r[ident]), ""), 256).alias("huella"))
+
+
+def stale(now: DataFrame, stored: DataFrame, by: str) -> DataFrame:
+    """(by) whose stored fingerprint is missing or another."""
+    return now.join(stored.select(by, F.col("huella").alias("_s")), by, "left").where(~F.col("huella").eqNullSafe(F.col("_s"))).select(by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from legajo.functions import analysis
 from legajo.operators import quality, retrieval, routing, sampling, spelling, vectors
 from legajo.plans.registry import query
-from legajo.plans.textual import _NEAR, _ROOTS, _lists, _questions, _roots, _vectors, bm25_sql
+from legajo.plans.textual import _NEAR, _ROOTS, _lists, _questions, _roots, _vectors, bm25_sql, tokens_sql
 
 _RP, _RR = (f"list_distinct({_ROOTS.replace('lower(text)', f'lower({c})')})" for c in ("prompt", "respuesta"))
 
@@ -52,18 +52,32 @@ def question_nodes(t):
     return quality.nodes(t.fragmentos, "fila", "titulo", "texto")
 
 
-@query()
+@query(r"""WITH l AS (SELECT fila, unnest(string_split(replace(texto, chr(13), ''), chr(10))) AS l, generate_subscripts(string_split(replace(texto, chr(13), ''), chr(10)), 1) AS p FROM fragmentos WHERE texto IS NOT NULL),
+k AS (SELECT *, starts_with(l, '## ') AS t FROM l WHERE trim(l, ' ') <> ''), s AS (SELECT *, (sum(t::INT) OVER (PARTITION BY fila ORDER BY p))::BIGINT AS seccion, lag(l) OVER (PARTITION BY fila ORDER BY p) AS a FROM k)
+SELECT fila, seccion, max(CASE WHEN t THEN substring(l, 4) END) AS titulo, count(*) FILTER (WHERE NOT t) AS pasos FROM s WHERE t OR a IS NULL OR a <> l GROUP BY 1, 2""")
 def text_sections(t):
     return quality.sections(t.fragmentos.where("texto is not null"), "fila", "texto")
 
 
-@query()
+def _sound(c: str) -> str:
+    """The sound of a word: letters that sound alike written alike, doubles once."""
+    for a, b in (("qu", "k"), ("ce", "se"), ("ci", "si"), ("ch", "x"), ("c", "k"), ("ll", "y"), ("h", ""), ("v", "b"), ("z", "s"), ("ge", "je"), ("gi", "ji")):
+        c = f"replace({c}, '{a}', '{b}')"
+    for x in "abdefgijklmnopqrstuwxy":
+        c = f"regexp_replace({c}, '{x}{x}+', '{x}', 'g')"
+    return c
+
+
+@query(f"""WITH v AS (SELECT w AS word, {_sound("w")} AS s, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql("text")})) AS w FROM documents) WHERE regexp_full_match(w, '\\p{{L}}{{4,}}') GROUP BY 1, 2),
+b AS (SELECT s, arg_max(word, (df, word)) AS correcta, max(df) AS b FROM v WHERE df >= 3 GROUP BY 1) SELECT word, correcta FROM v JOIN b USING (s) WHERE word <> correcta AND df < b""")
 def spelling_by_sound(t):
     w = t.documents.select("doc_id", F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("word")).where(F.col("word").rlike(r"^\p{L}{4,}$"))
     return quality.same_sound(w.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
 
 
-@query()
+@query(f"""WITH v AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql("text")})) AS w FROM documents) WHERE regexp_full_match(w, '\\p{{L}}{{4,}}') GROUP BY 1),
+p AS (SELECT r.w AS raro, c.w AS vecino, damerau_levenshtein(r.w, c.w)::INT AS d, c.df FROM v r, v c WHERE r.df < 3 AND c.df >= 10 * r.df AND abs(length(r.w) - length(c.w)) <= 2 AND damerau_levenshtein(r.w, c.w) BETWEEN 1 AND 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY raro ORDER BY d, df DESC, vecino)::INT AS r FROM p WHERE d = 1 OR length(raro) >= 8) SELECT raro, vecino, d, r, 0.7 AS peso FROM k WHERE r <= 2""")
 def fuzzy_terms(t):
     """Rare words and their two closest frequent ones: nearest first, then most frequent, then by name."""
     w = t.documents.select("doc_id", F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w"))
@@ -101,7 +115,8 @@ def bm25_sweep(t):
     return retrieval.sweep(index, _questions(t), _SETTINGS, analyzer=_roots).select("k1", "b", "qid", "doc_id", "score", "rank")
 
 
-@query()
+@query("""WITH s AS (SELECT source, sqrt(sum(coalesce(n_chars, 0))) AS r FROM documents WHERE source IS NOT NULL GROUP BY 1), x AS (SELECT source, (500 - count(*) OVER ()) * r / sum(r) OVER () AS x, count(*) OVER () AS n FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 6) DESC, source) AS k, 500 - n - sum(floor(x)) OVER () AS resto FROM x) SELECT source, (1 + floor(x) + (k <= resto)::INT)::BIGINT AS cupo FROM k""")
 def proportional_quota(t):
     sizes = t.documents.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("n_chars", F.lit(0))).alias("n"))
     return sampling.proportional(sizes, "source", "n", 500)

@@ -27,7 +27,26 @@ def doc_freq(t):
     return per.groupBy("raiz").agg(F.sum("n").alias("veces"), F.count(F.lit(1)).alias("docs"))
 
 
-@query()
+#: Tokens and stems of a text in SQL: the rules one after the other, each over the result of the one before.
+def tokens_sql(c: str) -> str:
+    raw = f"regexp_extract_all({_PLAIN.format(c)}, '{analysis._TOKEN}')"
+    named = r"lambda x: CASE WHEN contains(x, '+') THEN regexp_replace(regexp_replace(regexp_replace(x, '\s+', '', 'g'), '\bmayusculas\b|\bmayus\b', 'shift', 'g'), '\bcontrol\b', 'ctrl', 'g') ELSE x END"
+    return f"list_filter(list_transform({raw}, {named}), lambda x: length(x) >= 2 OR regexp_full_match(x, '\\p{{Nd}}'))"
+
+
+def stems_sql(words: str) -> str:
+    """(w, r) of a table `words` (w)."""
+    ends = " ".join(f"WHEN suffix(b, '{s}') AND length(b) - {len(s)} >= {n} THEN left(b, length(b) - {len(s)})" for s, n in analysis.SUFFIXES)
+    return f"""(SELECT w, CASE WHEN regexp_full_match(w, '\\p{{L}}{{4,}}') THEN CASE {ends} ELSE b END ELSE w END AS r FROM (SELECT w, CASE WHEN suffix(a, 'ces') AND length(a) > 4 THEN left(a, length(a) - 3) || 'z' WHEN suffix(a, 'iones') AND length(a) > 6 THEN left(a, length(a) - 2)
+WHEN length(a) > 4 AND regexp_matches(a, '[b-df-hj-np-tv-z]es$') THEN left(a, length(a) - 2) WHEN suffix(a, 's') AND length(a) > 3 AND NOT suffix(a, 'ss') AND NOT suffix(a, 'us') THEN left(a, length(a) - 1) ELSE a END AS b
+FROM (SELECT w, CASE WHEN suffix(w, 'mente') AND length(w) >= 9 THEN left(w, length(w) - 5) ELSE w END AS a FROM (SELECT DISTINCT w FROM {words}))))"""
+
+
+_STOP = ", ".join(f"'{w}'" for w in analysis.STOP_WORDS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({tokens_sql("text")}) AS w FROM documents), k AS (SELECT * FROM t WHERE w NOT IN ({_STOP}))
+SELECT r AS termino, count(*) AS veces, count(DISTINCT doc_id) AS docs FROM k JOIN {stems_sql("k")} USING (w) GROUP BY 1""")
 def index_terms(t):
     d = t.documents.select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("termino"))
     per = d.groupBy("termino", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -112,8 +131,16 @@ def question_kinds(t):
 
 
 @query()
+def canonical_questions(t):
+    return t.linea_base.select("id", analysis.canonical(F.col("prompt")).alias("canonica"))
+
+
+_COMPACT = f"""array_to_string(list_filter(string_split({_strip("regexp_replace(translate(lower(" + _strip("regexp_replace(prompt, '[[:space:]]+', ' ', 'g')") + "), 'áéíóúü¿?¡!,.:;', 'aeiouu        '), ' +', ' ', 'g')")}, ' '), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in routing.CONNECTORS)})), ' ')"""
+
+
+@query(f"SELECT id, coalesce(nullif({_COMPACT}, ''), {_strip('prompt')}) AS compacta FROM linea_base")
 def compact_questions(t):
-    return t.linea_base.select("id", routing.compact(F.col("prompt")).alias("compacta"), analysis.canonical(F.col("prompt")).alias("canonica"))
+    return t.linea_base.select("id", routing.compact(F.col("prompt")).alias("compacta"))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(hex(encode(k))) + 1, 2), lambda i: ('0x' || substring(hex(encode(k)), i, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
@@ -129,7 +156,8 @@ def _words(t):
     return t.documents.select(F.explode(F.array_distinct(analysis.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("w").rlike(r"^\p{L}{5,}$"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct({tokens_sql("text")})) AS w FROM documents) WHERE regexp_full_match(w, '\\p{{L}}{{5,}}') GROUP BY 1)
+SELECT r.w AS raro, c.w AS comun, damerau_levenshtein(r.w, c.w)::INT AS d FROM v r, v c WHERE r.df < 3 AND c.df >= 10 AND c.df >= 10 * r.df AND abs(length(r.w) - length(c.w)) <= 2 AND damerau_levenshtein(r.w, c.w) BETWEEN 1 AND 2""")
 def damerau_pairs(t):
     """Vocabulary words one or two restricted edits apart: every rare word with every frequent one that is ten times as frequent."""
     v = written(_words(t).where("df < 3 or df >= 10"), "vocabulario")
@@ -161,7 +189,17 @@ def bm25_topk(t):
     return lexical.bm25f(t.documents, {"texto": F.col("text")}, _questions(t), analyzer=_roots)
 
 
-@query()
+_F_DOCS = " UNION ALL ".join(f"SELECT fila AS doc_id, '{c}' AS field, {tokens_sql(c)} AS ws FROM fragmentos WHERE {c} IS NOT NULL" for c in ("titulo", "seccion", "texto", "manual"))
+_F_WEIGHT = "CASE field WHEN 'titulo' THEN 3.0 WHEN 'seccion' THEN 3.0 WHEN 'manual' THEN 0.5 ELSE 1.0 END"
+_BM25F = f"""WITH d AS ({_F_DOCS}), t AS (SELECT doc_id, field, unnest(ws) AS w FROM d), u AS (SELECT id AS qid, unnest({tokens_sql("prompt")}) AS w FROM linea_base WHERE id % 50 = 0), s AS (SELECT * FROM {stems_sql("(SELECT w FROM t UNION SELECT w FROM u)")}),
+k AS (SELECT doc_id, field, r AS term FROM t JOIN s USING (w) WHERE w NOT IN ({_STOP})), n AS (SELECT doc_id, field, count(*) AS len FROM k GROUP BY 1, 2), m AS (SELECT field, avg(len) AS mean FROM n GROUP BY 1),
+q AS (SELECT DISTINCT qid, r AS term FROM u JOIN s USING (w) WHERE w NOT IN ({_STOP})), tf AS (SELECT doc_id, field, term, count(*) AS tf FROM k SEMI JOIN q USING (term) GROUP BY 1, 2, 3),
+p AS (SELECT term, doc_id, sum({_F_WEIGHT} * tf / (0.25 + 0.75 * len / mean)) AS s FROM tf JOIN n USING (doc_id, field) JOIN m USING (field) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), c AS (SELECT count(*) AS total FROM fragmentos),
+x AS (SELECT qid, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * s * 2.2 / (1.2 + s)), 6) AS score FROM p JOIN df USING (term) JOIN q USING (term), c GROUP BY 1, 2)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM x) WHERE rank <= 10"""
+
+
+@query(_BM25F)
 def bm25f_topk(t):
     f = t.fragmentos.select(F.col("fila").alias("doc_id"), "titulo", "seccion", "texto", "manual")
     fields = {c: F.col(c) for c in ("titulo", "seccion", "texto", "manual")}
@@ -173,11 +211,6 @@ def bm25_filtered(t):
     return lexical.bm25f(t.documents, {"texto": F.col("text")}, _questions(t), analyzer=_roots, allowed=t.documents.where("lang = 'es' and source = 'guias-pdf'").select("doc_id"))
 
 
-@query()
-def coverage_topk(t):
-    return lexical.top(lexical.coverage(t.documents, F.col("text"), _questions(t), analyzer=_roots), 10, score="cobertura")
-
-
 _VEC = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 _COS = f"""WITH e AS ({_VEC}), s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM s)"""
@@ -200,7 +233,9 @@ def knn_label(t):
     return vectors.class_scores(vectors.cosine_topk(base.drop("label"), q), base.select("doc_id", "label"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, sum(x) AS s FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(s * s)) AS n FROM c GROUP BY 1),
+d AS (SELECT vec_id AS doc_id, c.label, round(sum(x * s / n), 6) AS score FROM e JOIN c USING (i) JOIN n ON n.label = c.label GROUP BY 1, 2)
+SELECT doc_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS k FROM d) WHERE k = 1""")
 def centroid_label(t):
     base, _ = _vectors(t)
     return vectors.nearest_centroid(base, vectors.centroids(base))
@@ -240,7 +275,9 @@ def rrf_fusion(t):
     return vectors.rrf({"vector": (vector, 1.0), "lexico": (lexical_, 1.0)})
 
 
-@query()
+@query(f"""{_COS}, p AS (SELECT qid, doc_id, label, round(1 - score + CASE label % 3 WHEN 1 THEN 0.02 WHEN 2 THEN 0.04 ELSE 0 END, 9) AS d FROM r JOIN embeddings ON vec_id = doc_id WHERE rank <= 50),
+n AS (SELECT *, min(d) OVER (PARTITION BY qid) AS b FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY d, doc_id) AS c FROM n WHERE d <= least(0.8, b + 0.18 + 1e-9)),
+f AS (SELECT qid, doc_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, doc_id)::INT AS orden FROM o WHERE c = 1) SELECT * FROM f WHERE orden <= 5""")
 def context_select(t):
     base, q = _vectors(t)
     near = vectors.cosine_topk(base.drop("label"), q, 50).join(base.select("doc_id", "label"), "doc_id")
