@@ -316,3 +316,130 @@ def test_index_terms_counts_documents_exactly(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     want = sorted((analysis.stem_py(w), 2 * n + (w == "acero"), n) for w, n in sizes.items())
     assert got(textual.index_terms(SimpleNamespace(documents=docs))) == want
+
+
+def test_stored_index(spark, tmp_path):
+    """Search over a saved index equals search over a fresh one, terms of a larger collection replace own frequencies."""
+    from legajo.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "metrado partida"), (2, "partida partida obra"), (3, "obra"), (4, None)], "doc_id bigint, texto string")
+    q = spark.createDataFrame([(1, "partida obra"), (2, "nada")], "qid bigint, query string")
+    index = retrieval.build(docs, {"texto": F.col("texto")})
+    retrieval.save(index, str(tmp_path / "i"))
+    kept = retrieval.load(spark, str(tmp_path / "i"))
+    a, b = (sorted(map(tuple, retrieval.search(i, q).collect())) for i in (index, kept))
+    assert a == b and [r[1] for r in a] == [1, 2, 3] and {r[0] for r in a} == {1}
+    with pytest.raises(ValueError):
+        retrieval.load(spark, str(tmp_path / "i"), version=2)
+    swept = retrieval.sweep(kept, q, [(1.2, 0.75), (0.5, 0.0)])
+    assert {tuple(r)[2:] for r in swept.where("k1 = 1.2").collect()} == {tuple(r) for r in a}
+    rare = spark.createDataFrame([("obr", 1)], "term string, df bigint")
+    assert retrieval.search(kept, q, general=(rare, 1000)).where("doc_id = 3").first().score > [r[2] for r in a if r[1] == 3][0]
+    assert retrieval.search(retrieval.build(docs.limit(0), {"texto": F.col("texto")}), q).count() == 0
+
+
+def test_second_orderings(spark):
+    from legajo.operators import retrieval
+
+    r = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.85, 2), (1, 12, 0.1, 3), (2, 10, 0.5, 1)], "qid bigint, doc_id bigint, score double, rank int")
+    assert sorted(map(tuple, retrieval.cascade(r).collect())) == [(1, round(0.05 / 0.9, 9), True), (2, None, False)]
+    same, degraded = retrieval.or_input_order(r, lambda x: 1 / 0)
+    assert degraded and all(x.rank == x.nuevo for x in same.collect())
+    good, degraded = retrieval.or_input_order(r, lambda x: x.select("qid", "doc_id", (-F.col("score")).alias("nota")))
+    assert not degraded and {(x.qid, x.doc_id): x.nuevo for x in good.collect()}[(1, 12)] == 1
+    el = spark.createDataFrame([(12,)], "doc_id bigint")
+    assert [tuple(x) for x in retrieval.eligible_first(r, r, el).collect()] == [(1, 12, 1)]
+
+
+def test_close_words_brute_force(spark):
+    import itertools
+    import random
+
+    from legajo.operators import spelling
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["x" * 45, "x" * 44 + "y", "x" * 43]
+    a, b = base[:35] + ["x" * 45], base[30:]
+    want = sorted({(x, y, d) for x, y in itertools.product(a, b) if x != y and (d := analysis.osa(x, y, 2)) <= 2})
+    got_ = spelling.close_words(spark.createDataFrame([(x,) for x in a], "raro string"), spark.createDataFrame([(x,) for x in b], "comun string"))
+    assert sorted(map(tuple, got_.collect())) == want and len(want) > 30
+
+
+def test_corrections_and_leaks(spark):
+    from legajo.operators import spelling
+
+    v = spark.createDataFrame([("factura", 50), ("fatcura", 1), ("baca", 1), ("vaca", 9), ("facturs", 1), ("corto", 5)], "word string, df bigint")
+    assert {r.word: (r.correcta, r.por) for r in spelling.corrections(v).collect()} == {"baca": ("vaca", "sonido"), "facturs": ("factura", "letra")}
+    assert one(spark, "o valor não está", spelling.leaks_portuguese) and not one(spark, "el valor no está", spelling.leaks_portuguese)
+    rows = spark.createDataFrame([("a", "", ""), ("b", "caja chica", "caja chica!"), ("c", None, "x")], "id string, a string, b string")
+    assert {r.id: r.p for r in rows.select("id", spelling.similarity(F.col("a"), F.col("b")).alias("p")).collect()}["b"] == 1.0
+
+
+def test_sections_from_text(spark):
+    from legajo.operators import fragments
+
+    text = "previo\n1 Compras\nabra la ficha\nabra la ficha\n1.2 Registro de pedidos\nelija\n2 haga clic aquí\n3 Cierre\n" + "\n".join(f"paso {'x' * 700} {i}" for i in range(4))
+    got_ = fragments.numbered_sections(text)
+    assert got_[0] == ("1 Compras", ["abra la ficha"]) and got_[1] == ("1 Compras › 1.2 Registro de pedidos", ["elija", "2 haga clic aquí"]) and got_[2][0] == "3 Cierre"
+    assert [t for t, _ in fragments.split_section(*got_[2])] == ["3 Cierre (1)", "3 Cierre (2)"]
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k bigint, t string")
+    assert fragments.text_sections(rows, "k", "t").count() == 4
+    assert fragments.first_json('a {b} {"x": {"y": "}"}} c') == '{"x": {"y": "}"}}' and fragments.first_json(None) is None and fragments.first_json("{") is None
+
+
+def test_white_space_and_crlf(spark):
+    assert one(spark, "uno\r\n\r\ndos", chunking.blocks) == ["uno", "dos"] and one(spark, "\n\t\n", chunking.blocks) == []
+    df = spark.createDataFrame([(1, "\n\t\n"), (2, None), (3, " x ")], "k bigint, t string")
+    assert [tuple(r) for r in chunking.sliding(df, "k", "t").collect()] == [(3, 0, "x")]
+    pages = "a" * 1000 + "\n\n" + "b" * 300 + "\f" + "c" * 900
+    got_ = one(spark, pages, lambda c: chunking.page_chunks(chunking.pages_of(c)))
+    assert [r.pagina for r in got_] == [1, 2] and got_[1].texto.endswith("c" * 900) and got_[1].texto.startswith("b" * 199)
+    assert one(spark, "x\ny", chunking.line_chunks) == ["x\ny"] and len(one(spark, "\n".join(["l" * 600] * 5), chunking.line_chunks)) == 3
+
+
+def test_layout(spark):
+    from legajo.operators import layout
+
+    b = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 5.0), (1, 1.0, 9.0, 9.0, 14.0), (1, 40.0, 0.0, 50.0, 5.0), (1, 41.0, 9.0, 52.0, 14.0), (2, 0.0, 0.0, 1.0, 1.0)], "pagina bigint, x0 double, y0 double, x1 double, y1 double")
+    c = layout.columns(b)
+    assert {(r.pagina, r.columna): r.cajas for r in c.collect()} == {(1, 1): 2, (1, 2): 2, (2, 1): 1}
+    assert {r.pagina: r.rejilla for r in layout.grids(c).collect()} == {1: True, 2: False}
+    s = spark.createDataFrame([("v", 1, 0b1111, ["a"]), ("v", 2, 0b1110, None), ("v", 3, -1 >> 1 & 0xFFFFFFFF, ["z"]), ("v", 4, 0xFF00FF00FF, ["a", "b"])], "video string, pantalla bigint, huella bigint, palabras array<string>")
+    assert [r.grupo for r in layout.screen_groups(s).orderBy("pantalla").collect()] == [1, 1, 3, 1]
+    read = spark.createDataFrame([(1, "Orden de compra", 3), (1, "Orden", 1), (1, "nada", 1)], "pagina bigint, texto string, n int")
+    seen = spark.createDataFrame([(1, "orden de compra"), (1, "zzz")], "pagina bigint, etiqueta string")
+    assert [(r.etiqueta, r.leido) for r in layout.fused_labels(read, seen).collect()] == [("orden de compra", "Orden de compra")]
+
+
+def test_identity_follows_the_sequence(spark):
+    import hashlib
+
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "a", "x"), (5, "a", "y"), (6, "b", None), (7, None, "x")]
+    h = lambda s: hashlib.sha256(f"{s}\0v".encode()).hexdigest()[:12]
+    got_ = maintenance.identity(spark.createDataFrame(rows, "n bigint, id string, t string"), "id", "t", "n", "v")
+    assert sorted(map(tuple, got_.collect())) == [(1, "a"), (3, f"a-{h('y')}"), (4, f"a-{h('x')}"), (6, "b")]
+    assert maintenance.collisions(got_).count() == 0
+
+
+def test_acceptance_needs_a_rival_of_another_element(spark):
+    c = spark.createDataFrame([(1, 1, 0.35, 2.0, "a"), (2, 1, 0.5, 2.0, "a"), (3, 1, 0.35, 3.0, "a"), (3, 2, 0.3, 2.9, "a"), (3, 3, 0.2, 2.0, "b"), (4, 1, 0.35, 2.0, "a"), (4, 2, 0.3, 1.9, "b")], "qid bigint, doc_id bigint, score double, lexico double, elemento string")
+    got_ = {(r.qid, r.doc_id): r.aceptado for r in routing.accepted(c).collect()}
+    assert not got_[(1, 1)] and got_[(2, 1)] and got_[(3, 1)] and got_[(3, 2)] and not got_[(3, 3)] and not got_[(4, 1)]
+
+
+def test_written_needs_a_shared_folder(spark, monkeypatch):
+    from legajo import session as s
+
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Fake:
+        sparkContext = Cluster()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(ValueError):
+        s.shared_dir(Fake())
+    s.written(spark.range(3), "prueba").count()
+    assert s.forget(spark) >= 1
