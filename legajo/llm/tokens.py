@@ -16,7 +16,10 @@ import base64
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,39 +69,57 @@ def _hot(table: DataFrame, hot: int) -> dict[str, list[int]]:
     return {r.word: list(r.ids) for r in table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").collect()}
 
 
+def _flat(words: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, list[str], np.ndarray]:
+    """All words of a batch, where each row's words begin and end among them, the distinct ones, and which one stands where."""
+    flat = words.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+    code = flat.dictionary_encode()
+    return flat, ends, code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sums(n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Running sum of n at the ends of the rows."""
+    return np.concatenate([[0], np.cumsum(n)])[ends]
+
+
 def _parts(hot: dict[str, list[int]], keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ids of the known words, -1 for others; each distinct word of a batch is looked up once, the rest is done on whole arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, colds = [], []
-            for ws in b["ws"]:
-                ids: list[int] = []
-                cold: list[str] = []
-                for w in ws if ws is not None else ():
-                    if (known := hot.get(w)) is not None:
-                        ids += known
-                    else:
-                        ids.append(-1)
-                        cold.append(w)
-                lists.append(ids)
-                colds.append(cold)
-            yield pd.DataFrame({**{c: b[c] for c in keep}, "ids": lists, "cold": colds})
+            flat, ends, distinct, at = _flat(b.column("ws"))
+            lists = [hot.get(w) for w in distinct]
+            cold = np.array([x is None for x in lists], dtype=bool)
+            size = np.array([1 if x is None else len(x) for x in lists], dtype=np.int64)
+            values = np.array([i for x in lists for i in (x if x is not None else (-1,))], dtype=np.int32)
+            n = size[at]
+            place = np.repeat((np.cumsum(size) - size)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ids = pa.ListArray.from_arrays(pa.array(_sums(n, ends), pa.int32()), pa.array(values[place], pa.int32()))
+            gone = cold[at]
+            colds = pa.ListArray.from_arrays(pa.array(_sums(gone, ends), pa.int32()), flat.filter(pa.array(gone)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids, colds], [*keep, "ids", "cold"])
 
     return run
 
 
-def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists with the ids of other words in their places; `found` has them in the order of the places."""
     for b in batches:
-        out = []
-        for ids, found in zip(b["ids"], b["found"], strict=True):
-            places = iter(sorted((x["pos"], x["ids"]) for x in found))
-            full: list[int] = []
-            for i in ids:
-                if i == -1:
-                    full.extend(next(places)[1])
-                else:
-                    full.append(i)
-            out.append(full)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "ids": out})
+        ids, found = b.column("ids"), b.column("found").flatten()
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        inner = found.field("ids")
+        size = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        open_ = np.flatnonzero(flat == -1)
+        n = np.ones(len(flat), dtype=np.int64)
+        n[open_] = size
+        start = np.cumsum(n) - n
+        out = np.empty(n.sum(), dtype=np.int32)
+        known = flat != -1
+        out[start[known]] = flat[known]
+        out[np.repeat(start[open_] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = inner.flatten().to_numpy(zero_copy_only=False)
+        full = pa.ListArray.from_arrays(pa.array(_sums(n, ends), pa.int32()), pa.array(out, pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), full], ["doc_id", "ids"])
 
 
 def _split_rows(texts: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, str]:
@@ -109,12 +130,12 @@ def _split_rows(texts: DataFrame, id_col: str, text_col: str, keep: list[str]) -
 def encode(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, ids) of every row. `table` is read twice: written() spares encoding again."""
     rows, kind = _split_rows(texts, id_col, text_col, [])
-    parts = written(rows.mapInPandas(_parts(_hot(table, hot), ["_r", "doc_id"]), kind + ", ids array<int>, cold array<string>"), "partes")
+    parts = written(rows.mapInArrow(_parts(_hot(table, hot), ["_r", "doc_id"]), kind + ", ids array<int>, cold array<string>"), "partes")
     places = parts.where(F.size("cold") > 0).select("_r", F.posexplode("cold").alias("pos", "word"))
-    found = places.join(table.select("word", "ids"), "word").groupBy("_r").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
+    found = places.join(table.select("word", "ids"), "word").groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
     whole = parts.where(F.size("cold") == 0).select("doc_id", "ids")
     rest = parts.where(F.size("cold") > 0).select("_r", "doc_id", "ids").join(found, "_r").select("doc_id", "ids", "found")
-    return whole.unionByName(rest.mapInPandas(_filled, whole.schema))
+    return whole.unionByName(rest.mapInArrow(_filled, whole.schema))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -128,19 +149,14 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def _counts(hot: dict[str, int], keep: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums, colds = [], []
-            for ws in b["ws"]:
-                n, cold = 0, []
-                for w in ws if ws is not None else ():
-                    if (k := hot.get(w)) is not None:
-                        n += k
-                    else:
-                        cold.append(w)
-                sums.append(n)
-                colds.append(cold)
-            yield pd.DataFrame({**{c: b[c] for c in keep}, "_n": sums, "cold": colds})
+            flat, ends, distinct, at = _flat(b.column("ws"))
+            size = np.array([hot.get(w, -1) for w in distinct], dtype=np.int64)[at]
+            gone = size < 0
+            sums = np.diff(_sums(np.where(gone, 0, size), ends))
+            colds = pa.ListArray.from_arrays(pa.array(_sums(gone, ends), pa.int32()), flat.filter(pa.array(gone)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sums, pa.int64()), colds], [*keep, "_n", "cold"])
 
     return run
 
@@ -150,7 +166,7 @@ def token_counts(texts: DataFrame, table: DataFrame, id_col: str = "doc_id", tex
     keep = keep or []
     rows, kind = _split_rows(texts, id_col, text_col, keep)
     sizes = {w: len(ids) for w, ids in _hot(table, hot).items()}
-    parts = written(rows.mapInPandas(_counts(sizes, ["_r", "doc_id", *keep]), kind + ", _n bigint, cold array<string>"), "partes")
+    parts = written(rows.mapInArrow(_counts(sizes, ["_r", "doc_id", *keep]), kind + ", _n bigint, cold array<string>"), "partes")
     cold = parts.where(F.size("cold") > 0).select("_r", F.explode("cold").alias("word")).groupBy("_r", "word").agg(F.count(F.lit(1)).alias("k"))
     more = cold.join(table.select("word", F.size("ids").alias("s")), "word").groupBy("_r").agg(F.sum(F.col("k") * F.col("s")).alias("_m"))
     return parts.join(more, "_r", "left").select("doc_id", *keep, (F.col("_n") + F.coalesce("_m", F.lit(0))).cast("bigint").alias("tokens"))
