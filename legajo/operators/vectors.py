@@ -41,6 +41,20 @@ def cosine_topk(base: DataFrame, queries: DataFrame, k: int = 10, allowed: Colum
     return out
 
 
+def class_best(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, label, score): greatest similarity of each class over all rows of base (doc_id, v, label); the query itself apart.
+
+    The stated query set meets all rows through a broadcast, in blocks if it is large; only the best of each class leaves a task.
+    """
+    n = 1 if small(queries, QUERIES) else 1 + queries.count() // QUERIES
+    out = None
+    for i in range(n):
+        q = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).select("qid", F.col("v").alias("_q"))
+        s = base.join(F.broadcast(q), F.col("doc_id") != F.col("qid")).groupBy("qid", "label").agg(F.round(F.max(dot(F.col("v"), F.col("_q"))), 6).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def class_scores(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """(qid, label, score): greatest similarity of each class among the neighbours found."""
     return neighbours.join(labels, "doc_id").groupBy("qid", "label").agg(F.max("score").alias("score"))

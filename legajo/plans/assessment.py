@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from legajo.functions import analysis
-from legajo.operators import bank, evaluation, fragments, layout, lexical, maintenance, retrieval, routing, sampling, spelling, traces, vectors
+from legajo.operators import bank, classify, evaluation, fragments, layout, lexical, maintenance, retrieval, routing, sampling, spelling, traces, vectors
 from legajo.plans.registry import query
 from legajo.plans.relational import _JUDGED, _judged
 from legajo.plans.textual import _COMPACT, _NEAR, _PLAIN, _ROOTS, _lists, _questions, _roots, _strip, _vectors, bm25_sql
@@ -534,3 +534,75 @@ def new_addresses(t):
 def sorted_page(t):
     m = t.manifiesto.select(F.coalesce("estado", F.lit("")).alias("estado"), F.coalesce("origen", F.lit("")).alias("origen"), "manifiesto_id")
     return m.orderBy("estado", "origen", "manifiesto_id").limit(60)
+
+
+# --- classes and decisions --------------------------------------------------------------------------------------------------------
+
+_TALK = "hola gracias buenos dias ok si no bien muy que tal como esta por favor la el de puedo no".split()
+
+
+@query(rf"""WITH w AS (SELECT id, list_filter(string_split(regexp_replace({_PLAIN.format("respuesta")}, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM linea_base WHERE respuesta IS NOT NULL)
+SELECT id, CASE WHEN len(ws) BETWEEN 1 AND 8 THEN len(list_filter(ws, lambda x: list_contains({_TALK!r}, x) OR regexp_matches(x, '^(?:a|e|i)?(?:[jh][aeio]){{2,}}[jh]?$'))) / len(ws) ELSE 0 END AS charla FROM w""")
+def small_talk(t):
+    return t.linea_base.where("respuesta is not null").select("id", classify.small_talk(F.col("respuesta"), _TALK).alias("charla"))
+
+
+_CLASSES = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, 'c' || b.label AS label, round(max(list_dot_product(a.v, b.v)), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2)"""
+
+
+def _class_scores(t):
+    """The greatest similarity of every class for the stated queries, over all vectors."""
+    base, q = _vectors(t)
+    return vectors.class_best(base, q).select("qid", F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), "score")
+
+
+@query(f"{_CLASSES} SELECT qid, label, score FROM s")
+def class_best(t):
+    return _class_scores(t)
+
+
+@query(f"""{_CLASSES}, b AS (SELECT qid, arg_max(label, (score, -substring(label, 2)::INT)) AS label, max(score) AS score FROM s GROUP BY 1), q AS (SELECT vec_id AS qid, (vec_id % 100 = 0)::INT AS charla FROM embeddings WHERE vec_id % 50 = 0)
+SELECT qid, CASE WHEN score >= 0.4 AND label <> 'c3' THEN label WHEN charla = 1 THEN 'social' ELSE 'c3' END AS clase, CASE WHEN (score >= 0.4 AND label <> 'c3') OR charla <> 1 THEN score ELSE 1 END AS nota FROM q LEFT JOIN b USING (qid)""")
+def intents(t):
+    base, q = _vectors(t)
+    return classify.intents(_class_scores(t), q.select("qid", (F.col("qid") % 100 == 0).cast("int").alias("charla")), work="c3")
+
+
+@query(f"""{_CLASSES}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS r FROM s), b AS (SELECT qid, max(CASE WHEN r = 1 THEN label END) AS l, max(CASE WHEN r = 1 THEN score END) AS a, coalesce(max(CASE WHEN r = 2 THEN score END), 0) AS b FROM k GROUP BY 1),
+g AS (SELECT vec_id AS qid, CASE WHEN vec_id % 200 = 0 THEN 'c1' WHEN vec_id % 100 = 0 THEN 'c2' END AS tipo, ['c1', 'c2', 'c4'] AS cs, CASE WHEN vec_id % 200 = 0 THEN 0.9 ELSE 0.45 END AS conf FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT *, conf >= 0.9 AS clara, coalesce(a >= 0.3 AND round(a - b, 9) >= 0.02 AND (tipo IS NULL OR list_contains(cs, l)), false) AS knn FROM g LEFT JOIN b USING (qid))
+SELECT qid, CASE WHEN clara THEN tipo WHEN knn THEN l ELSE coalesce(tipo, 'desconocido') END AS tipo, CASE WHEN clara THEN 'reglas' WHEN knn THEN 'knn' WHEN tipo IS NOT NULL THEN 'reglas' ELSE 'ninguno' END AS metodo FROM d""")
+def staged_types(t):
+    _, q = _vectors(t)
+    rules = q.select("qid", F.when(F.col("qid") % 200 == 0, "c1").when(F.col("qid") % 100 == 0, "c2").alias("tipo"), F.array(*map(F.lit, ["c1", "c2", "c4"])).alias("candidatos"), F.when(F.col("qid") % 200 == 0, 0.9).otherwise(0.45).alias("confianza"))
+    return classify.staged(rules, _class_scores(t), 0.3, 0.02)
+
+
+_BUCKET = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(hex(encode(k))) + 1, 2), lambda i: ('0x' || substring(hex(encode(k)), i, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 100"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'v1' WHEN doc_id % 9 = 1 THEN 'v2' WHEN {_BUCKET} < 30 THEN 'v2' ELSE 'v1' END AS version FROM (SELECT doc_id, 'conv:' || doc_id AS k FROM documents)""")
+def version_choice(t):
+    asked = F.when(F.col("doc_id") % 9 == 0, " V1 ").when(F.col("doc_id") % 9 == 1, "v2").when(F.col("doc_id") % 9 == 2, "otra")
+    return t.documents.select("doc_id", classify.version(asked, F.concat(F.lit("conv:"), F.col("doc_id").cast("string")), True, percent=30).alias("version"))
+
+
+@query(f"""WITH g AS ({bm25_sql(5, where="source = 'guias-pdf'")}), m AS ({bm25_sql(10)}), q AS (SELECT id AS qid FROM linea_base WHERE id % 50 = 0 AND prompt IS NOT NULL), s AS (SELECT qid, coalesce(max(score) >= 12, false) AS basta FROM q LEFT JOIN g USING (qid) GROUP BY 1)
+SELECT qid, doc_id, score, 1 AS ronda FROM g UNION ALL SELECT qid, doc_id, score, 2 FROM m WHERE qid IN (SELECT qid FROM s WHERE NOT basta) AND NOT EXISTS (SELECT 1 FROM g WHERE g.qid = m.qid AND g.doc_id = m.doc_id)""")
+def second_round(t):
+    """Official documents first; where their best score is too low, all documents."""
+    index, q = retrieval.build(t.documents, {"texto": F.col("text")}, _roots), _questions(t)
+    first = retrieval.search(index, q, 5, analyzer=_roots, allowed=t.documents.where("source = 'guias-pdf'").select("doc_id"))
+    return classify.second_round(first, retrieval.search(index, q, 10, analyzer=_roots), q, 12.0)
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN (vec_id % 10) / 10.0 ELSE greatest(1 / (1 + exp(-(vec_id % 7 - 3))), coalesce(CASE WHEN vec_id % 4 > 0 THEN (vec_id % 5) / 5.0 END, 0)) END AS puntaje, floor((vec_id % 97) / 97.0 * 1000 + 0.5) / 1000 AS tres FROM embeddings")
+def effective_scores(t):
+    logit = F.when(F.col("vec_id") % 3 != 0, (F.col("vec_id") % 7 - 3).cast("double"))
+    own, cover = (F.col("vec_id") % 10) / F.lit(10.0), F.when(F.col("vec_id") % 4 > 0, (F.col("vec_id") % 5) / F.lit(5.0))
+    return t.embeddings.select("vec_id", classify.effective(own, logit, cover).alias("puntaje"), classify.half_up((F.col("vec_id") % 97) / F.lit(97.0)).alias("tres"))
+
+
+@query("SELECT doc_id, CASE WHEN source IN ('guias-pdf', 'portal-ayuda', 'videos') THEN source ELSE 'guias-pdf' END AS eleccion FROM documents")
+def decisions(t):
+    return t.documents.select("doc_id", classify.decided(F.array(*map(F.lit, ["guias-pdf", "portal-ayuda", "videos"])), F.col("source")).alias("eleccion"))

@@ -113,3 +113,63 @@ def unified(fragments: DataFrame, videos: DataFrame) -> DataFrame:
     """Fragments and video rows in one schema; a video gives its title and its time mark."""
     v = videos.select("id", "documento", F.col("canal").alias("manual"), F.col("video").alias("titulo"), F.col("desde").alias("pagina"), F.col("url").alias("fuente"), "texto", F.coalesce("tipo", F.lit("video")).alias("tipo"))
     return fragments.unionByName(v, allowMissingColumns=True)
+
+
+def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(carpeta, archivos, bytes) of the files below a folder, by the folder they lie in; contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return raw.groupBy(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("carpeta")).agg(F.count(F.lit(1)).alias("archivos"), F.sum("length").alias("bytes"))
+
+
+def save_state(df: DataFrame, path: str) -> None:
+    """Write a small state beside its old copy and put it in its place at once, so a reader sees one or the other."""
+    spark = df.sparkSession
+    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old = P(f"{path}.nuevo"), P(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}.nuevo")
+    gone = P(f"{path}.viejo")
+    fs.delete(gone, True)
+    if fs.exists(old):
+        fs.rename(old, gone)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot put {path}.nuevo in place")
+    fs.delete(gone, True)
+
+
+def report(df: DataFrame, title: str, kind: str = "md", most: int = 500) -> str:
+    """A report of at most `most` rows as json, md or html; what is left out is said at the end. The rows of a report are presentation."""
+    import html
+    import json
+
+    rows = [list(r) for r in df.limit(most + 1).collect()]
+    cut, names = len(rows) > most, df.columns
+    rows = rows[:most]
+    text = lambda v: "" if v is None else str(v)
+    if kind == "json":
+        return json.dumps({"titulo": title, "columnas": names, "filas": [[v if isinstance(v, int | float | bool | None) else text(v) for v in r] for r in rows], "truncado": cut}, ensure_ascii=False)
+    if kind == "html":
+        e = lambda v: html.escape(text(v))
+        body = "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows)
+        return f"<h1>{e(title)}</h1><table><tr>{''.join(f'<th>{e(n)}</th>' for n in names)}</tr>{body}</table>" + (f"<p>Solo {most} filas.</p>" if cut else "")
+    if kind != "md":
+        raise ValueError(kind)
+    cell = lambda v: text(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(map(cell, names)) + " |", "|" + "-|" * len(names), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    return "\n".join([*lines, *(["", f"Solo {most} filas."] if cut else [])])
+
+
+TRACE = "id string, ts string, modelo string, origen string, ms bigint, estado string, correcta boolean, preguntas array<struct<id:string,tipo:string,instrucciones:string,confianza:double>>"
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Traces of a JSON lines file or folder in the nested form of TRACE; a missing file has none."""
+    schema = T._parse_datatype_string(TRACE)
+    return read_jsonl(spark, path, schema).where("_corrupt_record is null").select(*schema.names)
+
+
+def joined_traces(traces: DataFrame, questions: DataFrame) -> DataFrame:
+    """The nested form from two tables: traces (id, …) and questions (trace_id, id, tipo, instrucciones, confianza); traces without questions have an empty array."""
+    q = questions.groupBy(F.col("trace_id").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("id", "tipo", "instrucciones", "confianza"))).alias("preguntas"))
+    empty = F.array().cast("array<struct<id:string,tipo:string,instrucciones:string,confianza:double>>")
+    return traces.join(q, F.col("id") == F.col("_t"), "left").drop("_t").withColumn("preguntas", F.coalesce("preguntas", empty))

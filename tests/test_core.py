@@ -443,3 +443,42 @@ def test_written_needs_a_shared_folder(spark, monkeypatch):
         s.shared_dir(Fake())
     s.written(spark.range(3), "prueba").count()
     assert s.forget(spark) >= 1
+
+
+def test_small_talk_and_versions(spark):
+    from legajo.operators import classify
+
+    talk = lambda s: one(spark, s, lambda c: classify.small_talk(c, ["hola", "ok", "gracias"]))
+    assert talk("¡Holaaa! jajaja okk") == 1.0 and talk("hola metrados") == 0.5 and talk("") == 0.0 and talk(None) == 0.0 and talk("ok " * 9) == 0.0
+    assert one(spark, "x", lambda c: classify.version(F.lit("v2"), c, False)) == "v1" and one(spark, "x", lambda c: classify.version(F.lit(" V2"), c, True)) == "v2" and one(spark, "x", lambda c: classify.version(F.lit(None), c, False, "v2")) == "v2"
+    assert one(spark, "b", lambda c: classify.decided(F.array(F.lit("a"), F.lit("b")), c)) == "b" and one(spark, None, lambda c: classify.decided(F.array(F.lit("a")), c)) == "a"
+    assert one(spark, 0.0005, classify.half_up, "double") == 0.001 and one(spark, 0.0005, classify.half_even, "double") == 0.0
+
+
+def test_reports_state_and_traces(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "n bigint, t string")
+    assert files.report(df, "T") == "# T\n\n| n | t |\n|-|-|\n| 1 | a\\|b |\n| 2 |  |"
+    assert '"truncado": true' in files.report(df, "T", "json", 1) and "<td>a|b</td>" in files.report(df, "T", "html")
+    p = str(tmp_path / "estado")
+    for n in (1, 2):
+        files.save_state(df.limit(n), p)
+        assert spark.read.parquet(p).count() == n
+    (tmp_path / "t.jsonl").write_text('{"id": "a", "preguntas": [{"id": "1", "tipo": "score"}]}\nmala\n', encoding="utf-8")
+    assert [(r.id, r.preguntas[0].tipo) for r in files.read_traces(spark, str(tmp_path / "t.jsonl")).collect()] == [("a", "score")]
+    assert files.read_traces(spark, str(tmp_path / "no.jsonl")).count() == 0
+    j = files.joined_traces(spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a", "2", "t", "i", 0.5), ("a", "1", "t", "i", None)], "trace_id string, id string, tipo string, instrucciones string, confianza double"))
+    assert {r.id: [q.id for q in r.preguntas] for r in j.collect()} == {"a": ["1", "2"], "b": []}
+    assert {r.archivos for r in files.folder_sizes(spark, str(tmp_path / "t.jsonl")).collect()} == {1}
+
+
+def test_bank_edges(spark):
+    from legajo.operators import bank
+
+    pairs = spark.createDataFrame([(i, f"p{i}", f"r{i}") for i in range(400)], "id bigint, pregunta string, respuesta string")
+    t = bank.training_set(pairs, pairs.limit(0).select("id", F.lit(1).alias("variante"), "pregunta"), pairs.select("id", F.concat(F.lit("c"), "id").alias("contexto")))
+    rows = t.collect()
+    bad = [r for r in rows if r.clase == "abstencion"]
+    assert len([r for r in rows if r.clase == "verificada"]) == 400 and 2 <= len(bad) <= 40 and all(r.contexto != f"c{r.id}" for r in bad)
+    old, new = F.lit("Pulse **F7** 3 veces"), F.lit("Pulse **F8** 4 veces\ny siga")
+    assert spark.range(1).select(bank.rewrite_problems(old, new).alias("x")).first().x == ["numeros", "atajos", "negritas", "lineas"]
+    assert bank.template_questions(spark.createDataFrame([(1, "Saldo", None), (2, None, "x")], "nodo bigint, nombre string, texto string")).collect()[0].pregunta == "¿Cómo funciona saldo en el ERP?"
