@@ -42,9 +42,11 @@ def answer_steps(t):
 
 
 @query(r"""WITH l AS (SELECT id, unnest(string_split(respuesta, chr(10))) AS l FROM linea_base), s AS (SELECT id, regexp_extract(l, '^\s*(\d+)', 1)::INT AS n FROM l WHERE regexp_matches(l, '^\s*\d+[.)]\s+\S'))
-SELECT id FROM s GROUP BY 1 HAVING min(n) <> 1 OR max(n) <> count(*) OR count(DISTINCT n) <> count(*)""")
+SELECT id FROM s WHERE NOT (n = 2 AND id % 2 = 0) GROUP BY 1 HAVING min(n) <> 1 OR max(n) <> count(*) OR count(DISTINCT n) <> count(*)""")
 def misnumbered_steps(t):
-    return quality.misnumbered(quality.numbered_steps(t.linea_base, "id", "respuesta"), "id")
+    """Answers of even number lose their second step, so that some are out of order."""
+    steps = quality.numbered_steps(t.linea_base, "id", "respuesta")
+    return quality.misnumbered(steps.where("not (n = 2 and id % 2 = 0)"), "id")
 
 
 @query("""SELECT fila, trim(string_split(titulo, '›')[1], ' ') AS modulo, CASE WHEN len(string_split(titulo, '›')) > 1 THEN trim(string_split(titulo, '›')[-1], ' ') END AS seccion FROM fragmentos WHERE length(texto) >= 40""")
