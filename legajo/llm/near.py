@@ -34,6 +34,8 @@ BANDS, ROWS = 40, 4
 GROUP = 1024
 #: Text classes in candidate pairs up to which they are broadcast (16 bytes each).
 ENDS = 200_000
+#: Pairs of nodes that a worker descends at once, and pairs of rows that it gives at once.
+OPEN, ROOM = 1 << 15, 1 << 18
 
 
 def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -100,6 +102,8 @@ def _sketches(bands: int, rows: int, min_words: int, k: int):
             for i, t in zip(b["h"], b["texto"], strict=True):
                 if i in seen:  # of equal texts one for each task is enough
                     continue
+                if len(seen) > 100_000:
+                    seen.clear()
                 seen.add(i)
                 ws = words_py(t)
                 if len(ws) < min_words:
@@ -176,16 +180,40 @@ class Trie:
         return a
 
 
-def traverse(bits: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of `bits` below the given pairs of nodes (xlo, xhi, ylo, yhi) whose differing bits stay within the budgets.
-
-    A node paired with itself gives each pair of its rows once. Rows of a node are sorted by their bits.
+def _leaves(xlo: np.ndarray, xhi: np.ndarray, ylo: np.ndarray, yhi: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of pairs of leaves, about ROOM at a time: the rows of a leaf have equal sketches."""
+    n = xhi - xlo
+    of = np.repeat(np.arange(len(n)), n)
+    row = xlo[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    lo = np.where(same[of], row + 1, ylo[of])
+    size = yhi[of] - lo
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ROOM, side="right")))
+        m = size[at:end]
+        k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(row[at:end], m), np.repeat(lo[at:end], m) + k
+        at = end
+
+
+def descended(bits: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of `bits` below the given pairs of nodes (xlo, xhi, ylo, yhi) whose differing bits stay within the budgets, piece by piece.
+
+    A node paired with itself gives each pair of its rows once. Rows of a node are sorted by their bits. At most OPEN pairs of nodes are
+    descended at once, the deepest first, so the open ones don't grow with the pairs of a bucket.
     """
     trie = Trie(bits)
-    xs, ys = [], []
     xlo, xhi, ylo, yhi = (np.concatenate(v).astype(np.int64) for v in zip(*roots, strict=True))
-    done, spent = np.zeros(len(xlo), dtype=np.int64), np.zeros(len(xlo), dtype=np.int64)
-    while len(xlo):
+    waiting = [(xlo, xhi, ylo, yhi, np.zeros(len(xlo), dtype=np.int64), np.zeros(len(xlo), dtype=np.int64))]
+    while waiting:
+        piece = waiting.pop()
+        if len(piece[0]) > OPEN:
+            waiting.append(tuple(v[OPEN:] for v in piece))
+            piece = tuple(v[:OPEN] for v in piece)
+        xlo, xhi, ylo, yhi, done, spent = piece
+        if not len(xlo):
+            continue
         dx, dy = trie.shared(xlo, xhi - 1), trie.shared(ylo, yhi - 1)
         same = (xlo == ylo) & (xhi == yhi)
         upto = np.minimum(dx, dy)
@@ -193,16 +221,7 @@ def traverse(bits: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray, np.ndar
         fits = spent <= most[upto]
         leaves = fits & (upto == trie.width)
         if leaves.any():
-            # rows with equal sketches share a leaf
-            i = np.flatnonzero(leaves)
-            nx, ny = xhi[i] - xlo[i], yhi[i] - ylo[i]
-            size = nx * ny
-            at = np.repeat(np.arange(len(i)), size)
-            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            p, q = xlo[i][at] + k // ny[at], ylo[i][at] + k % ny[at]
-            keep = ~same[i][at] | (p < q)
-            xs.append(p[keep])
-            ys.append(q[keep])
+            yield from _leaves(xlo[leaves], xhi[leaves], ylo[leaves], yhi[leaves], same[leaves])
         go = np.flatnonzero(fits & ~leaves)
         xlo, xhi, ylo, yhi, dx, dy, same, upto, spent = (v[go] for v in (xlo, xhi, ylo, yhi, dx, dy, same, upto, spent))
         cut_x = dx <= dy  # the node that splits first is descended; a node paired with itself gives three pairs
@@ -214,11 +233,14 @@ def traverse(bits: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray, np.ndar
             (xlo[cy], xhi[cy], ylo[cy], mid[cy], cy), (xlo[cy], xhi[cy], mid[cy], yhi[cy], cy),
         ]
         xlo, xhi, ylo, yhi, of = (np.concatenate(v) for v in zip(*nxt, strict=True))
-        done, spent = upto[of], spent[of]
-        alone = (xlo == ylo) & (xhi == yhi) & (xhi - xlo == 1)  # one row makes no pair
-        if alone.any():
-            xlo, xhi, ylo, yhi, done, spent = (v[~alone] for v in (xlo, xhi, ylo, yhi, done, spent))
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.empty(0, np.int64), np.empty(0, np.int64))
+        pair = ~((xlo == ylo) & (xhi == yhi) & (xhi - xlo == 1))  # one row makes no pair
+        waiting.append((xlo[pair], xhi[pair], ylo[pair], yhi[pair], upto[of][pair], spent[of][pair]))
+
+
+def traverse(bits: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All that descended() gives, at once."""
+    got = list(descended(bits, roots, most))
+    return (np.concatenate([p for p, _ in got]), np.concatenate([q for _, q in got])) if got else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _sorted(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -226,21 +248,33 @@ def _sorted(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.lexsort((*(np.ascontiguousarray(bits[:, i : i + 8]).view(">u8").ravel() for i in range(bits.shape[1] - 8, -1, -8)), first))
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, h, bits, side) of whole buckets of a batch; rows come sorted by key, the last bucket waits for the next batch."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, h = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        bits = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(len(h), -1)
+        side = b.column(3).to_numpy(zero_copy_only=False) if b.num_columns > 3 else np.ones(len(h), dtype=np.int32)
+        got = (key, h, bits, side)
+        if rest is not None:
+            got = tuple(np.concatenate(x) for x in zip(rest, got, strict=True))
+        last = int(np.searchsorted(got[0], got[0][-1]))
+        if last:
+            yield tuple(x[:last] for x in got)
+        rest = tuple(x[last:].copy() for x in got)
+    if rest is not None:
+        yield rest
+
+
 def _join(most: np.ndarray):
-    """The buckets of a batch at once: lists of (h, bits) are one node each; where `side` is given, sides 1 and 2 are joined with each other."""
+    """Rows (key, h, bits) sorted by key: a bucket is one node; where `side` is given, sides 1 and 2 are joined with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = b.column(0)
-            flat = g.flatten()
-            h = flat.field(0).to_numpy(zero_copy_only=False)
-            if not len(h):
-                continue
-            bits = np.frombuffer(b"".join(flat.field(1).to_pylist()), dtype=np.uint8).reshape(len(h), -1)
-            sizes = g.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            node = 2 * np.repeat(np.arange(len(sizes)), sizes)
-            if flat.type.num_fields > 2:
-                node += flat.field(2).to_numpy(zero_copy_only=False) - 1
+        for key, h, bits, side in _buckets(batches):
+            sizes = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+            node = 2 * np.repeat(np.arange(len(sizes)), sizes) + side - 1
             order = _sorted(bits, node)
             h, bits, node = h[order], bits[order], node[order]
             start = np.searchsorted(node, np.arange(2 * len(sizes) + 1))
@@ -248,9 +282,9 @@ def _join(most: np.ndarray):
             two = y[1] > y[0]
             lo, hi = np.where(two, y[0], x[0]), np.where(two, y[1], x[1])
             full = (x[1] > x[0]) & (hi > lo)
-            p, q = traverse(bits, [(x[0][full], x[1][full], lo[full], hi[full])], most)
-            out = pd.DataFrame({"a": np.minimum(h[p], h[q]), "b": np.maximum(h[p], h[q])})
-            yield pa.RecordBatch.from_pandas(out[out["a"] != out["b"]].drop_duplicates(), preserve_index=False)
+            for p, q in descended(bits, [(x[0][full], x[1][full], lo[full], hi[full])], most):
+                out = pd.DataFrame({"a": np.minimum(h[p], h[q]), "b": np.maximum(h[p], h[q])})
+                yield pa.RecordBatch.from_pandas(out[out["a"] != out["b"]].drop_duplicates(), preserve_index=False)
 
     return run
 
@@ -300,15 +334,20 @@ def candidates(sk: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     cool = entries.join(few, "key", "left_anti") if any_hot else entries
     # buckets of one text need no node
     members = cool.repartition("key").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "h")
-    pairs = members.join(bits, "h").groupBy("key").agg(F.collect_list(F.struct("h", "bits")).alias("g")).select("g").mapInArrow(_join(most), "a bigint, b bigint")
+    pairs = _bucketed(members.join(bits, "h").select("key", "h", "bits")).mapInArrow(_join(most), "a bigint, b bigint")
     if any_hot:
         tasks = hot_tasks(written(entries.join(few.select("key"), "key", "left_semi").join(bits, "h"), "nodos"), most, group)
-        pairs = pairs.union(tasks.mapInArrow(_join(most), "a bigint, b bigint"))
+        pairs = pairs.union(_bucketed(tasks).mapInArrow(_join(most), "a bigint, b bigint"))
     return pairs.distinct()
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Rows of a key one after the other in one partition. They stay rows: a list for each key would be held whole, thousands of them in one batch."""
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
 def hot_tasks(members: DataFrame, most: np.ndarray, group: int) -> DataFrame:
-    """(g): for each pair of trie nodes of a hot bucket within the budget, its texts as (h, bits, side).
+    """(key, h, bits, side): for each pair of trie nodes of a hot bucket within the budget, a key of its own and its texts.
 
     Nodes are cut every four bits, as high as they hold at most `group` texts; below 64 bits by hash of the text.
     """
@@ -336,8 +375,8 @@ def hot_tasks(members: DataFrame, most: np.ndarray, group: int) -> DataFrame:
     for i in "12":
         own = tasks if i == "1" else tasks.where("struct(d1, v1, s1) < struct(d2, v2, s2)")
         own = own.select("key", "t", *[F.col(c + i).alias(c) for c in "dvs"])
-        sides.append(placed.join(own, ["key", "d", "v", "s"]).select("key", "t", "h", "bits", F.lit(int(i)).alias("side")))
-    return sides[0].union(sides[1]).groupBy("key", "t").agg(F.collect_list(F.struct("h", "bits", "side")).alias("g")).select("g")
+        sides.append(placed.join(own, ["key", "d", "v", "s"]).select(F.col("t").alias("key"), "h", "bits", F.lit(int(i)).alias("side")))
+    return sides[0].union(sides[1])
 
 
 def similar_texts(texts: DataFrame, id_col: str = "fila", text_col: str = "texto", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, min_words: int = MIN_WORDS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:

@@ -533,3 +533,21 @@ def test_refusals_are_learned(spark):
     docs = spark.createDataFrame([(1, "texto " * 30, "es", "s")], "doc_id bigint, text string, lang string, source string")
     assert sorted(got(pairs.broken(rows, docs, refusals=model))) == [(i, "rechazo") for i in range(3)]
     assert not [d for _, d in got(pairs.broken(rows, docs, refusals=pairs.Refusals({}, 0.0))) if d == "rechazo"]
+
+
+def test_buckets_are_joined_within_bounds():
+    """60 buckets of 500 texts, 7.5 million pairs: what a worker holds does not grow with them, and batches may end inside a bucket."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, most = np.random.default_rng(9), near.budgets(0.6, 160)
+    base = rng.integers(0, 2, (60, 1, 320), dtype=np.uint8)
+    bits = np.packbits((base ^ (rng.random((60, 500, 320), dtype=np.float32) < 0.05)).astype(np.uint8).reshape(-1, 320), axis=1)
+    key, h = np.repeat(np.arange(60), 500), np.arange(30_000)
+    batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + 7001]), pa.array(h[i : i + 7001]), pa.array([b.tobytes() for b in bits[i : i + 7001]])], ["key", "h", "bits"]) for i in range(0, 30_000, 7001))
+    tracemalloc.start()
+    found = sum(b.num_rows for b in near._join(most)(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 60 * 500 * 499 // 2 and peak < 120e6
