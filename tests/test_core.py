@@ -525,3 +525,13 @@ def test_ranking_moves_no_pairs(spark, monkeypatch, block):
                 assert [x for _, x in got_[k1, i]] == [x for _, x in by_hand(text, 4, k1, b, **hand)] and got_[k1, i] == by_hand(text, 4, k1, b, **hand)
         rows = sum(df_.count() for name, df_ in seen if name == "puestos")
         assert 2 * 3 * 4 <= rows <= 2 * 3 * 4 * 8  # three different queries, two settings, up to eight tasks; the pairs are ten times as many
+
+
+def test_coverage_of_pairs_and_of_the_best(spark):
+    """Both forms give what all pairs give, without them."""
+    docs = spark.createDataFrame([(i, " ".join(w for j, w in enumerate(["obra", "partida", "metrado", "costo"]) if i >> j & 1)) for i in range(40)], "doc_id bigint, texto string")
+    q = spark.createDataFrame([(1, "obra costo"), (2, "partida nada metrado"), (3, "nada")], "qid int, query string")
+    every = lexical.coverage(docs, F.col("texto"), q).cache()
+    assert got(lexical.coverage_topk(docs, F.col("texto"), q, 3)) == got(lexical.top(every, 3, score="cobertura").select("qid", "doc_id", "cobertura", "rank"))
+    pairs = spark.createDataFrame([(1, 9), (1, 1), (1, 0), (2, 2), (2, 2), (3, 5)], "qid int, doc_id bigint")
+    assert got(lexical.coverage(docs, F.col("texto"), q, among=pairs)) == got(every.join(pairs.distinct(), ["qid", "doc_id"], "left_semi")) != []
