@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -551,3 +552,16 @@ def test_buckets_are_joined_within_bounds():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 60 * 500 * 499 // 2 and peak < 120e6
+
+
+def test_inner_ngrams_of_all_texts(spark):
+    """Counts cover every distinct text, copies once, however many there are; the places are those of plain slicing."""
+    from legajo.llm import endings
+
+    rng = random.Random(4)
+    texts = [f"{i} del fin y el ünal fin 𝒳 {sentence(rng, 6)} del fin" for i in range(120)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *texts[:5], None, "corto"])), "id int, t string")
+    model = endings.fit(rows, "id", "t", per=60)
+    want = Counter(g for t in map(endings.plain, texts) for k in endings.ORDERS for i in range(len(t) - k) if (g := t[i : i + k]) in model.ends)
+    assert model.inner == pytest.approx({g: n / 2 for g, n in want.items()}) and len(want) > 5
+    assert model.n_ends == pytest.approx(60) and model.n_inner == pytest.approx(sum(map(len, map(endings.plain, texts))) / 2) and model.scale == pytest.approx(0.5)
