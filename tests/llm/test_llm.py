@@ -565,3 +565,14 @@ def test_inner_ngrams_of_all_texts(spark):
     want = Counter(g for t in map(endings.plain, texts) for k in endings.ORDERS for i in range(len(t) - k) if (g := t[i : i + k]) in model.ends)
     assert model.inner == pytest.approx({g: n / 2 for g, n in want.items()}) and len(want) > 5
     assert model.n_ends == pytest.approx(60) and model.n_inner == pytest.approx(sum(map(len, map(endings.plain, texts))) / 2) and model.scale == pytest.approx(0.5)
+
+
+def test_refusals_from_all_answers(spark):
+    """One pass over the table for each round gives what the same answers give in memory, and every answer takes part."""
+    rng = random.Random(8)
+    own = [f"{sentence(rng, 8)} {i}" for i in range(60)] + [f"Ese dato queda fuera de mi alcance, no puedo ayudarte con {sentence(rng, 3)} {i}" for i in range(20)]
+    others = [sentence(rng, 20) for _ in range(10)]
+    rows = spark.createDataFrame([(i, None, a) for i, a in enumerate([*own, own[0], None])], "id int, prompt string, respuesta string").repartition(3)
+    want, found = pairs.fit_refusals(own, others), pairs.learned_refusals(rows, None, others)
+    assert found.prior == pytest.approx(want.prior) and {k: v for k, v in found.table.items() if abs(v) > 1e-9} == pytest.approx({k: v for k, v in want.table.items() if abs(v) > 1e-9})
+    assert len(want.table) > 20
