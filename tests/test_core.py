@@ -4,6 +4,7 @@ import math
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -527,6 +528,43 @@ def test_ranking_moves_no_pairs(spark, monkeypatch, block):
         assert 2 * 3 * 4 <= rows <= 2 * 3 * 4 * 8  # three different queries, two settings, up to eight tasks; the pairs are ten times as many
 
 
+def test_a_scoring_task_sends_k_rows_for_each_query(monkeypatch):
+    """However many batches it reads, also when it drops the rest in between; copies and ties across batches go to the smaller doc_id."""
+    import pyarrow as pa
+
+    def batch(ids):
+        one = lambda v, kind: pa.array([[v]] * len(ids), pa.list_(kind))
+        tf = pa.array([[1 + i % 3 if i < 90 else 3] for i in ids], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids), one("obra", pa.string()), one("texto", pa.string()), tf, one(9, pa.int32())], ["doc_id", "term", "field", "tf", "len"])
+
+    for most in (500_000, 3):
+        monkeypatch.setattr(lexical, "GATHERED", most, raising=False)
+        run = lexical._scored(["nada", "obra"], np.array([1.0, 2.0]), [(77, [1], [1.0]), (78, [0], [1.0])], [(1.2, 0.75), (0.5, 0.0)], {}, {"texto": 9.0}, 4)
+        rows = [tuple(r.values()) for b in run(batch([100 - i for i in range(j, j + 10)]) for j in range(0, 100, 10)) for r in b.to_pylist()]
+        assert [(x, g, i) for x, g, i, _ in rows] == [(x, 77, i) for x in (0, 1) for i in (2, 5, 8, 11)]
+        assert list(run(iter([]))) == []
+
+
+@pytest.mark.parametrize("name, lists", [("hybrid_topk", 1)])
+def test_rankings_write_what_the_questions_ask(spark, monkeypatch, name, lists):
+    """They write the postings of the questions' terms and their best 50, not the whole index; the rows are those of the SQL."""
+    import duckdb
+
+    from legajo.plans.catalog import ORACLES, QUERIES
+
+    seen, kept = [], lexical.written
+    monkeypatch.setattr(lexical, "written", lambda df, what: seen.append((what, kept(df, what))) or seen[-1][1])
+    found = sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    con = duckdb.connect()
+    for table in ("documents", "linea_base", "embeddings"):
+        con.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    assert found == sorted(con.execute(ORACLES[name]).fetchall()) != []
+    asked = spark.read.parquet("/root/testdata/sf0.001/linea_base.parquet").where("id % 50 = 0").select(F.explode(analysis.roots(F.col("prompt"))))
+    terms = [df for what, df in seen if what == "terminos"]
+    assert len(terms) == lists and {r[0] for r in terms[0].select(F.explode("term")).distinct().collect()} <= {r[0] for r in asked.collect()}
+    assert all(df.groupBy("x", "g").count().where("count > 50").isEmpty() for what, df in seen if what == "puestos")
+
+
 def test_coverage_of_pairs_and_of_the_best(spark):
     """Both forms give what all pairs give, without them."""
     docs = spark.createDataFrame([(i, " ".join(w for j, w in enumerate(["obra", "partida", "metrado", "costo"]) if i >> j & 1)) for i in range(40)], "doc_id bigint, texto string")
