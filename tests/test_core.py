@@ -545,7 +545,7 @@ def test_a_scoring_task_sends_k_rows_for_each_query(monkeypatch):
         assert list(run(iter([]))) == []
 
 
-@pytest.mark.parametrize("name, lists", [("hybrid_topk", 1), ("rrf_fusion", 1)])
+@pytest.mark.parametrize("name, lists", [("hybrid_topk", 1), ("rrf_fusion", 1), ("bm25_sweep", 1)])
 def test_rankings_write_what_the_questions_ask(spark, monkeypatch, name, lists):
     """They write the postings of the questions' terms and their best 50, not the whole index; the rows are those of the SQL."""
     import duckdb
