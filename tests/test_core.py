@@ -545,6 +545,43 @@ def test_a_scoring_task_sends_k_rows_for_each_query(monkeypatch):
         assert list(run(iter([]))) == []
 
 
+@pytest.mark.parametrize("tf, again", [("1 + pmod(doc_id * 7919, 1601)", False), ("1600 - doc_id", True), ("7", True)])
+def test_tasks_send_their_part_of_the_best(spark, monkeypatch, tmp_path, tf, again):
+    """Eight tasks send fewer rows than k for each query; also where the best, or equal ones, all lie in one task the rows are those of all documents."""
+    import math
+    import uuid
+
+    kept, passes, folder = lexical._scored, [], str(tmp_path)
+
+    def counted(*how):
+        run = kept(*how)
+        passes.append(len(how[2]))
+
+        def go(batches):
+            for b in run(batches):
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(b.num_rows))
+                yield b
+
+        return go
+
+    monkeypatch.setattr(lexical, "_scored", counted)
+    ids = spark.range(0, 1600, 1, 8).withColumnRenamed("id", "doc_id")
+    rows = ids.select("doc_id", F.expr("array('obra') AS term"), F.expr("array('texto') AS field"), F.expr(f"array(int({tf})) AS tf"), F.expr("array(9) AS len"))
+    means = spark.createDataFrame([("texto", 9.0)], "field string, mean double")
+    q = spark.createDataFrame([(1, "obra"), (2, "obra nada"), (3, "obra"), (4, "nada")], "qid int, query string")
+    found = lexical.ranked(rows, means, 1_000_000, q, 50, [(1.2, 0.75), (0.5, 0.0)], analyzer=lambda c: F.split(c, " ")).orderBy("x", "qid", "rank").collect()
+    idf, counts = math.log(1 + (1_000_000 - 1600 + 0.5) / 1600.5), {r.doc_id: r.tf[0] for r in rows.collect()}
+    wanted = []
+    for x, k1 in enumerate((1.2, 0.5)):
+        best = sorted((-round(idf * n * (k1 + 1) / (k1 + n), 6), i) for i, n in counts.items())[:50]
+        wanted += [(x, qid, i, pytest.approx(-s, abs=2e-6), rank) for qid in (1, 2, 3) for rank, (s, i) in enumerate(best, 1)]
+    assert [tuple(r) for r in found] == wanted
+    assert passes == [2, 2] if again else passes == [2]
+    sent = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 2 * 2 * 50 <= sent <= 2 * 2 * 50 * 8 * (0.75 if again else 0.5)
+
+
 @pytest.mark.parametrize("name, lists", [("hybrid_topk", 1), ("rrf_fusion", 1), ("bm25_sweep", 1)])
 def test_rankings_write_what_the_questions_ask(spark, monkeypatch, name, lists):
     """They write the postings of the questions' terms and their best 50, not the whole index; the rows are those of the SQL."""
